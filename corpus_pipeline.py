@@ -1,8 +1,53 @@
-"""A training corpus from raw documents; filled in below."""
+"""A training corpus from raw documents: drop bad documents, keep one of near duplicates, mix sources, pack.
 
-STAGES = []
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), the DataFrame that the stage
+before has written, and returns a DataFrame. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from statloom.llm.common import work_dir, written
+from statloom.llm.mixing import mix
+from statloom.llm.packing import pack
+from statloom.llm.quality import keep_good
+from statloom.llm.queries import tokenizer_file
+from statloom.llm.simhash import drop_near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier, trained on ``labels`` outside the held-out fold, finds good."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, ordered so that sources interleave by their target weights."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens; one row per piece of a document."""
+    return pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: A trained classifier decides what the later stages see, so no SQL gives run()'s rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = work_dir(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"{out}/{name}")
+    return docs

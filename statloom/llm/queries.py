@@ -37,6 +37,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=50256)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import schedule
+
+    return schedule(documents(spark, sf_dir), temperature=0.5, prefix="").select("doc_id", "source", "size", "begin", "block", "release", "deadline", "slot")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -46,6 +58,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op8_simhash": op8_simhash,
     "op9_token_shards": op9_token_shards,
     "op10_token_counts": op10_token_counts,
