@@ -49,6 +49,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .orderhash import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op7_order_minhash": op7_order_minhash,
     "op8_simhash": op8_simhash,
     "op9_token_shards": op9_token_shards,
     "op10_token_counts": op10_token_counts,
