@@ -117,6 +117,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash base's and its inverse's powers 0 to n - 1 modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 16)
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, _INVERSE)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Rolled:
+    """Polynomial hashes modulo 2**64 of any ranges of a byte buffer, from one running sum."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = powers(len(buf) + 1)
+        with np.errstate(over="ignore"):
+            self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)))
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sum[ends] - self.sum[starts]) * self.down[starts]
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only, unlike ``lower``."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

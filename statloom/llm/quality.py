@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, mix64, slices
+from .common import Rolled, free_names, mix64, slices
 
 #: Labelled documents that a model is fitted on at most; chosen by a hash of doc_id, so spread over the table.
 SAMPLE_DOCS = 6000
@@ -38,17 +38,6 @@ _CLASS[[ord("!"), ord("?")]] = 5
 _CLASS[ord("|")] = 6
 _CLASS[0xC0:] = 8
 _CLASS[0x80:0xC0] = 9
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash base's and its inverse's powers 0 to n - 1 modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, _INVERSE)]
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 @dataclass
@@ -73,10 +62,9 @@ def line_features(texts: list[bytes]) -> Lines:
     blanks = shares[:, 3].copy()
     shares /= np.maximum(size, 1)[:, None]
     # A line that its document has had before, by a rolling hash.
-    up, down = powers(len(buf) + 1)
+    part = Rolled(buf)
     with np.errstate(over="ignore"):
-        rolled = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buf + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)))
-        key = mix64((rolled[ends] - rolled[starts]) * down[starts] + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        key = mix64(part(starts, ends) + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     first = np.zeros(n, bool)
     first[np.unique(key, return_index=True)[1]] = True
     again = (~first & (size > 0)).astype(float)
@@ -90,8 +78,7 @@ def line_features(texts: list[bytes]) -> Lines:
     # Words that repeat the word before them.
     gaps = np.flatnonzero((cls == 3) | (buf == 10))
     begin = np.concatenate(([0], gaps[:-1] + 1))
-    with np.errstate(over="ignore"):
-        word = (rolled[gaps] - rolled[begin]) * down[begin]
+    word = part(begin, gaps)
     told = np.flatnonzero((word[1:] == word[:-1]) & (gaps[1:] > begin[1:])) + 1
     words = blanks + 1
     echo = np.bincount(line[gaps[told]], minlength=n) / words

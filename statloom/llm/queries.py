@@ -49,6 +49,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_labels
+
+    return license_labels(documents(spark, sf_dir)).drop("spans")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orderhash import fingerprint_documents
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op5_licenses": op5_licenses,
     "op7_order_minhash": op7_order_minhash,
     "op8_simhash": op8_simhash,
     "op9_token_shards": op9_token_shards,
