@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Rolled, free_names, mix64, slices
 
 #: Labelled documents that a model is fitted on at most; chosen by a hash of doc_id, so spread over the table.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 4000
 #: A document with this score or more is good.
 THRESHOLD = 0.3
 
@@ -159,21 +159,26 @@ def fit(texts: list[bytes], good: np.ndarray, steps: int = 120, ridge: float = 2
     if not texts:
         empty = line_features([b""]).x.shape[1]
         return Model(np.zeros(empty), np.ones(empty), np.zeros(empty), np.zeros((2, 2)))
-    lines = line_features(texts)
-    mean, scale = lines.x.mean(0), lines.x.std(0)
-    mean[0], scale[scale < 1e-9] = 0, 1
-    x = (lines.x - mean) / scale
-    y = np.repeat(good.astype(float), lines.count)
+    # By slices, in single precision: the driver holds about 400 bytes a line of the sample.
+    made = [line_features(texts[i:j]) for i, j in slices(map(len, texts), 1 << 20)]
+    count = np.concatenate([m.count for m in made])
+    x = np.concatenate([m.x.astype(np.float32) for m in made])
+    del made
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float)
+    mean[0], scale[scale < 1e-6] = 0, 1
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
+    y = np.repeat(good.astype(float), count)
     n, d = x.shape
     inner = np.ones(n, bool)
-    inner[np.cumsum(lines.count) - 1] = False
+    inner[np.cumsum(count) - 1] = False
     at = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[at].astype(int), y[at + 1].astype(int)), 1)
     theta, m, v = np.zeros(d + 4), np.zeros(d + 4), np.zeros(d + 4)
     for t in range(1, steps + 1):
-        p, pairs, _ = forward_backward(x @ theta[:d], theta[d:].reshape(2, 2), lines.count)
-        grad = np.concatenate((x.T @ (y - p), (seen - pairs).ravel())) / n - ridge * theta
+        p, pairs, _ = forward_backward((x @ theta[:d].astype(np.float32)).astype(float), theta[d:].reshape(2, 2), count)
+        grad = np.concatenate((x.T @ (y - p).astype(np.float32), (seen - pairs).ravel())) / n - ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return Model(mean, scale, theta[:d], theta[d:].reshape(2, 2))
@@ -193,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mode
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
-    got = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"].encode("utf-8", "surrogatepass") for r in got], np.array([r["quality"] for r in got]))
+    got = sorted((r["doc_id"], r["text"].encode("utf-8", "surrogatepass"), r["quality"]) for r in rows.collect())
+    return fit([t for _, t, _ in got], np.array([q for _, _, q in got]))
 
 
 def score(docs: DataFrame, model: Model, output: str = "score") -> DataFrame:
