@@ -49,12 +49,24 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import stored_media
+
+    return stored_media(documents(spark, sf_dir))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import license_labels
 
     return license_labels(documents(spark, sf_dir)).drop("spans")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orderhash import fingerprint_documents
 
@@ -72,11 +84,23 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
+    "op4_media": op4_media,
     "op5_licenses": op5_licenses,
+    "op6_warc": op6_warc,
     "op7_order_minhash": op7_order_minhash,
     "op8_simhash": op8_simhash,
     "op9_token_shards": op9_token_shards,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM h)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
