@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import AtomicFile, filesystem, texts_of, work_dir, written
-from .tokens import encoder, wide
+from .tokens import encoded_texts, encoder, wide
 
 FOOTER = struct.Struct("<QQQQQQQII8s")
 MAGIC = b"STLMSST1"
@@ -203,12 +203,12 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_b
         end, size = enc.number(end_id), enc.dtype.itemsize
         part, seq, shard, made, last, ordinal = TaskContext.get().partitionId(), 0, None, [], (), 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(enc, texts_of(batch.column(1)))):
                 ordinal = ordinal + 1 if last == (doc_id,) else 0
                 last = (doc_id,)
                 if shard is None:
                     shard = ShardWriter(f"{out}/shards/part-{part:06d}-{seq:04d}.sst", size)
-                shard.add(key_of(doc_id, ordinal), enc.encode(text) + end)
+                shard.add(key_of(doc_id, ordinal), ids + end)
                 if shard.file.size >= shard_bytes and not shard.block:
                     made.append((part, seq, *shard.close()))
                     shard, seq = None, seq + 1

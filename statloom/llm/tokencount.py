@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import AtomicFile, filesystem, texts_of, work_dir, written
-from .tokens import encoder
+from .tokens import encoded_texts, encoder
 
 FILE_BYTES = 512 << 20
 BLOCK_BYTES = 4 << 20
@@ -38,10 +38,11 @@ def write_flat(docs: DataFrame, out: str, tokenizer: str, end_id: int, file_byte
         end, part, seq, file, ordinal = enc.number(end_id), TaskContext.get().partitionId(), 0, None, 0
         for batch in batches:
             seqs, ordinals, chars = [], [], []
-            for text in texts_of(batch.column(1)):
+            texts = texts_of(batch.column(1))
+            for text, ids in zip(texts, encoded_texts(enc, texts)):
                 if file is None:
                     file, ordinal = AtomicFile(f"{out}/flat/part-{part:06d}-{seq:04d}.u{enc.dtype.itemsize}"), 0
-                file.write(enc.encode(text) + end)
+                file.write(ids + end)
                 seqs.append(seq)
                 ordinals.append(ordinal)
                 chars.append(len(text))

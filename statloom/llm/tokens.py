@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
+from .common import slices
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space as Unicode's White_Space property has it (the tokenizers' regular expressions use that).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Letters beyond doubt; a run of them that ends before white space or a plain mark is a word of its own
 #: for either encoding, so that the table needs no entry for each mark behind it.
-WORD = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+(?=[" + SPACE + ".,!;:|]|$)"
+LETTERS = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+"
+WORD = LETTERS + "(?=[" + SPACE + ".,!;:|]|$)"
 #: A piece: a word, or a run of characters other than white space, with the one space before it; or a run
 #: of white space that leaves its last space to the piece behind it.
 PIECE = re.compile(f" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -31,22 +35,6 @@ MAX_PIECES = 1_000_000
 LONGEST_KEPT = 64
 
 
-class _Pieces(dict):
-    """piece -> bytes of its ids."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Encoder:
     """``encode(text)`` gives the ids as little-endian bytes of ``dtype`` (2 or 4 bytes an id).
 
@@ -61,20 +49,54 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = None if special_as_text or not added else re.compile("|".join(map(re.escape, added)), re.I)
-        probe = self._library(" a")
-        self.find = (BARE if probe == self._library("a") else PIECE).findall
-        self.pieces = _Pieces(self._library)
+        self.bare = self._library(" a") == self._library("a")
+        self.find = (BARE if self.bare else PIECE).findall
+        self.pieces: dict[str, bytes] = {}
+        # Where words stand side by side in one text, the tokens that end (or begin) a word tell them apart.
+        self.plain = re.compile(LETTERS if self.bare else " " + LETTERS).fullmatch
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.edge = np.zeros(max(tokens.values(), default=0) + 1, bool)
+        self.edge[[i for t, i in tokens.items() if (t.endswith("</w>") if self.bare else t.startswith("\u0120"))]] = True
 
     def _library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.special is not None and self.special.search(text):
-            return self._library(text)
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; unknown pieces of all the texts are encoded together."""
+        whole = {i for i, t in enumerate(texts) if self.special is not None and self.special.search(t)}
+        found = [() if i in whole else self.find(t) for i, t in enumerate(texts)]
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
+        new = set().union(*found).difference(self.pieces)
+        self._learn(list(new))
+        get = self.pieces.__getitem__
+        out = [self._library(t) if i in whole else b"".join(map(get, found[i])) for i, t in enumerate(texts)]
+        for p in new:
+            if len(p) > LONGEST_KEPT:
+                del self.pieces[p]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Put pieces into the table: words many at a time, others one by one."""
+        words = [p for p in new if self.plain(p)]
+        others = set(new).difference(words)
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        texts = [(" " if self.bare else "").join(g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+            ids = np.array(e.ids, np.int64)
+            cut = np.flatnonzero(self.edge[ids]) + self.bare
+            if len(cut) != len(group) or (not self.bare and cut[0]) or (self.bare and cut[-1] != len(ids)):
+                others.update(group)
+                continue
+            at = (np.concatenate(([0], cut)) if self.bare else np.append(cut, len(ids))) * self.dtype.itemsize
+            data, at = ids.astype(self.dtype).tobytes(), at.tolist()
+            self.pieces.update(zip(group, [data[x:y] for x, y in zip(at, at[1:])]))
+        for p in others:
+            self.pieces[p] = self._library(p)
 
     def number(self, i: int) -> bytes:
         """The bytes of one id."""
@@ -92,6 +114,12 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
+def encoded_texts(enc: Encoder, texts: list[str]) -> Iterator[bytes]:
+    """The ids of texts in order, a bounded slice at a time."""
+    for i, j in slices(map(len, texts)):
+        yield from enc.encode_all(texts[i:j])
+
+
 def wide(ids: bytes, dtype: np.dtype) -> bytes:
     """The ids as little-endian unsigned 32-bit numbers."""
     return ids if dtype.itemsize == 4 else np.frombuffer(ids, dtype).astype("<u4").tobytes()
