@@ -112,4 +112,5 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, out: str | None =
     out = out or work_dir(spark, "flat")
     names = write_flat(docs, out, tokenizer, end_id)
     found = scan_flat(flat_files(spark, out), end_id)
-    return names.join(found, ["part", "seq", "ordinal"]).select("doc_id", "n_chars", "n_tokens")
+    # What a scanned block holds once taken apart is more than Spark would guess: never broadcast it.
+    return names.hint("merge").join(found, ["part", "seq", "ordinal"]).select("doc_id", "n_chars", "n_tokens")
