@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new, empty place of its own in the shared folder."""
+    bounded_batches(spark)
     return f"{shared_dir(spark)}/statloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -79,6 +80,18 @@ class AtomicFile:
         self.fs.delete_file(self.temp)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Have Spark cut the Arrow batches for Python by bytes too, so that long texts can't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches (views, no copies)."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings, nulls as empty texts."""
     return [t or "" for t in column.to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import AtomicFile, filesystem, texts_of, work_dir, written
+from .common import AtomicFile, filesystem, small, texts_of, work_dir, written
 
 ROW = 192
 ARCHIVE_BYTES = 256 << 20
@@ -101,7 +101,7 @@ def write_archives(docs: DataFrame, out: str, archive_bytes: int = ARCHIVE_BYTES
             file.close()
             made.append((f"{out}/media/part-{part:06d}-{seq:04d}.zip", members))
 
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
                 if file is None:
                     file, members = AtomicFile(f"{out}/media/part-{part:06d}-{seq:04d}.zip"), 0
@@ -221,7 +221,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """doc_id and the features of every stored member: what is read back, decoded, hashed and summarised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = []
             for name, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 doc = name.split("/")[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, texts_of
+from .common import bounded_batches, mix64, small, texts_of
 
 K, BINS, PICK = 8, 64, 2
 #: A sort key is 40 bits of hash and 24 of position; longer texts are sorted by hash and position apart.
@@ -94,6 +94,7 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
     besides its Arrow batch.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(key.alias("k"))
@@ -135,7 +136,7 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in OUT.split(", ")])
 
-        for b in batches:
+        for b in small(batches):
             for p, guest, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(3)), texts_of(b.column(3))):
                 if guest and (last is None or last[0] != p):
                     continue  # a further row of a guest's doc_id

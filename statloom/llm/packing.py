@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, texts_of, work_dir, written
+from .common import filesystem, small, texts_of, work_dir, written
 from .tokens import encoded_texts, encoder, wide
 
 #: Deficit counters count in this part of a token.
@@ -110,7 +110,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = enc.number(end_id)
-        for batch in batches:
+        for batch in small(batches):
             ids = [x + end for x in encoded_texts(enc, texts_of(batch.column(1)))]
             n = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, pa.array(ids, pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])

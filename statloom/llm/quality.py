@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolled, free_names, mix64, slices
+from .common import Rolled, bounded_batches, free_names, mix64, slices
 
 #: Labelled documents that a model is fitted on at most; chosen by a hash of doc_id, so spread over the table.
 SAMPLE_DOCS = 4000
@@ -205,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mode
 def score(docs: DataFrame, model: Model, output: str = "score") -> DataFrame:
     """``docs`` with a column of scores; null texts are empty, and an empty text gets the score of one empty line."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     told = spark.sparkContext.broadcast(model)  # a few hundred numbers
     names = list(docs.columns)
     (temp,) = free_names(docs, "score_text")

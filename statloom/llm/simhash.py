@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, texts_of, work_dir, written
+from .common import free_names, small, texts_of, work_dir, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Points of a shard beyond which it is divided, levels of that, and pairs compared at once.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), fp (the 64 bits as a signed long) of every row; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fps = np.array([fingerprint(t) for t in texts_of(b.column(2))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 

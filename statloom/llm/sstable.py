@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import AtomicFile, filesystem, texts_of, work_dir, written
+from .common import AtomicFile, filesystem, small, texts_of, work_dir, written
 from .tokens import encoded_texts, encoder, wide
 
 FOOTER = struct.Struct("<QQQQQQQII8s")
@@ -202,7 +202,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_b
         enc = encoder(tokenizer)
         end, size = enc.number(end_id), enc.dtype.itemsize
         part, seq, shard, made, last, ordinal = TaskContext.get().partitionId(), 0, None, [], (), 0
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(enc, texts_of(batch.column(1)))):
                 ordinal = ordinal + 1 if last == (doc_id,) else 0
                 last = (doc_id,)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import AtomicFile, filesystem, texts_of, work_dir, written
+from .common import AtomicFile, filesystem, small, texts_of, work_dir, written
 from .tokens import encoded_texts, encoder
 
 FILE_BYTES = 512 << 20
@@ -36,7 +36,7 @@ def write_flat(docs: DataFrame, out: str, tokenizer: str, end_id: int, file_byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, special_as_text=True)
         end, part, seq, file, ordinal = enc.number(end_id), TaskContext.get().partitionId(), 0, None, 0
-        for batch in batches:
+        for batch in small(batches):
             seqs, ordinals, chars = [], [], []
             texts = texts_of(batch.column(1))
             for text, ids in zip(texts, encoded_texts(enc, texts)):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, filesystem, work_dir, written
+from .common import AtomicFile, filesystem, small, work_dir, written
 from .sstable import Shard, ShardWriter
 
 #: Payloads of fewer bytes are never revisits.
@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, out: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, file, path = TaskContext.get().partitionId(), None, ""
-        for b in batches:
+        for b in small(batches):
             rows = []
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                 if file is None:
