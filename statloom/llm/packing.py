@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weigh
     weights: target shares by source (default: the shares of the sources' tokens, which hold to the last
     window); null sources are one source "". A null text is the end id alone; null and repeated doc_ids
     are documents like any other; an empty table gives no rows. Only doc_id, text and source are read.
-    with_ids adds the piece's ids as little-endian bytes, to build the sequences from (group by
+    with_ids adds the piece's ids as little-endian 32-bit numbers, to build the sequences from (group by
     sequence_id, order by offset). The driver holds a count and a few numbers per source.
     """
     spark = docs.sparkSession
@@ -143,7 +143,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weigh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer).dtype
-        size = dtype.itemsize
         for batch in batches:
             for path, bases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rank = dict(bases)
@@ -152,13 +151,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weigh
                     for part in pq.ParquetFile(f).iter_batches(batch_size=256):
                         made: list[tuple] = []
                         for doc_id, source, n, ids in zip(*(part.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "ids"))):
-                            k, first = number[source], rank[source]
+                            k, first, ids = number[source], rank[source], wide(ids, dtype)
                             rank[source] = first + n
                             for r, length, place in places(stretches, k, first, n):
                                 while length:
                                     here = min(length, window - place % window)
-                                    piece = ids[(r - first) * size : (r - first + here) * size]
-                                    made.append((doc_id, r - first, here, zlib.crc32(wide(piece, dtype)), n, place // window, place % window, source, wide(piece, dtype) if with_ids else None))
+                                    piece = ids[(r - first) * 4 : (r - first + here) * 4]
+                                    made.append((doc_id, r - first, here, zlib.crc32(piece), n, place // window, place % window, source, piece if with_ids else None))
                                     r, place, length = r + here, place + here, length - here
                         kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
                         fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]

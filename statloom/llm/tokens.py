@@ -20,10 +20,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space as Unicode's White_Space property has it (the tokenizers' regular expressions use that).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Letters beyond doubt; a run of them that ends before white space or a plain mark is a word of its own
-#: for either encoding, so that the table needs no entry for each mark behind it.
+#: Letters beyond doubt; a run of them that ends before white space or an ASCII mark or digit is a word of
+#: its own for either encoding, so that the table needs no entry for each mark behind it.
 LETTERS = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+"
-WORD = LETTERS + "(?=[" + SPACE + ".,!;:|]|$)"
+WORD = LETTERS + "(?=[" + SPACE + "!-@\\[-`{-~]|$)"
 #: A piece: a word, or a run of characters other than white space, with the one space before it; or a run
 #: of white space that leaves its last space to the piece behind it.
 PIECE = re.compile(f" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -31,7 +31,7 @@ PIECE = re.compile(f" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 BARE = re.compile(f"{WORD}|[^{SPACE}]+")
 
 #: Entries of the table (about 200 bytes each) before it is emptied, and characters of the longest piece it keeps.
-MAX_PIECES = 400_000
+MAX_PIECES = 700_000
 LONGEST_KEPT = 64
 
 
@@ -49,11 +49,11 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = None if special_as_text or not added else re.compile("|".join(map(re.escape, added)), re.I)
+        self.opening = {c for t in added for c in (t[:1].lower(), t[:1].upper())}
         self.bare = self._library(" a") == self._library("a")
         self.find = (BARE if self.bare else PIECE).findall
         self.pieces: dict[str, bytes] = {}
         # Where words stand side by side in one text, the tokens that end (or begin) a word tell them apart.
-        self.plain = re.compile(LETTERS if self.bare else " " + LETTERS).fullmatch
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(tokens.values(), default=0) + 1, bool)
         self.edge[[i for t, i in tokens.items() if (t.endswith("</w>") if self.bare else t.startswith("\u0120"))]] = True
@@ -67,7 +67,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; unknown pieces of all the texts are encoded together."""
-        whole = {i for i, t in enumerate(texts) if self.special is not None and self.special.search(t)}
+        whole = {i for i, t in enumerate(texts) if self._has_special(t)}
         found = [() if i in whole else self.find(t) for i, t in enumerate(texts)]
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
@@ -80,17 +80,22 @@ class Encoder:
                 del self.pieces[p]
         return out
 
+    def _has_special(self, text: str) -> bool:
+        return self.special is not None and any(c in text for c in self.opening) and self.special.search(text) is not None
+
     def _learn(self, new: list[str]) -> None:
         """Put pieces into the table: words many at a time, others one by one."""
-        words = [p for p in new if self.plain(p)]
-        others = set(new).difference(words)
+        words, others = [], []
+        for p in new:
+            word = p.isalpha() if self.bare else p[0] == " " and p[1:].isalpha()
+            (words if word else others).append(p)
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         texts = [(" " if self.bare else "").join(g) for g in groups]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
             ids = np.array(e.ids, np.int64)
             cut = np.flatnonzero(self.edge[ids]) + self.bare
             if len(cut) != len(group) or (not self.bare and cut[0]) or (self.bare and cut[-1] != len(ids)):
-                others.update(group)
+                others += group
                 continue
             at = (np.concatenate(([0], cut)) if self.bare else np.append(cut, len(ids))) * self.dtype.itemsize
             data, at = ids.astype(self.dtype).tobytes(), at.tolist()
