@@ -144,13 +144,13 @@ def closure(parts: Column, to: float = 1.0) -> Column:
 
 def clr(parts: Column) -> Column:
     """Logs less their mean."""
-    logs = F.transform(doubles(parts), F.log)
+    logs = F.transform(doubles(parts), lambda x: F.log(x))
     mean = total(logs) / F.size(logs)
     return F.transform(logs, lambda x: x - mean)
 
 
 def clr_inverse(z: Column) -> Column:
-    return closure(F.transform(doubles(z), F.exp))
+    return closure(F.transform(doubles(z), lambda x: F.exp(x)))
 
 
 def alr(parts: Column, reference: int = -1) -> Column:
@@ -163,7 +163,7 @@ def alr(parts: Column, reference: int = -1) -> Column:
 
 
 def alr_inverse(z: Column, reference: int = -1) -> Column:
-    e = F.transform(doubles(z), F.exp)
+    e = F.transform(doubles(z), lambda x: F.exp(x))
     if reference == -1:
         return closure(F.concat(e, F.array(F.lit(1.0))))
     return closure(F.array_insert(e, reference + 1, F.lit(1.0)))
@@ -199,7 +199,7 @@ def dot(values: Column, weights) -> Column:
 
 def ilr(parts: Column, d: int, basis: np.ndarray | None = None) -> Column:
     basis = helmert_basis(d) if basis is None else basis
-    logs = F.transform(doubles(parts), F.log)
+    logs = F.transform(doubles(parts), lambda x: F.log(x))
     return F.array(*[dot(logs, row) for row in basis])
 
 

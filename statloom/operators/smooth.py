@@ -304,7 +304,7 @@ class GaussianProcess:
         kind = "struct<m:double,s:double>"
 
         @F.pandas_udf(kind)
-        def value(*series) -> object:
+        def value(*series):
             import pandas as pd
 
             p = told.value

@@ -101,6 +101,28 @@ class Tree:
         return "\n".join([*out, "}"])
 
 
+def _bin(x: Column, cuts: list[float]) -> Column:
+    """How many cut points lie below a value."""
+    return F.aggregate(F.array(*[F.lit(float(v)) for v in cuts]), F.lit(0), lambda s, v: s + (x > v).cast("int")) if cuts else F.lit(0)
+
+
+def _equal(values: str, c) -> Column:
+    """How many entries of an array column equal a label."""
+    return F.size(F.filter(values, lambda v: v == F.lit(c)))
+
+
+def _voted(values: str, classes: list) -> Column:
+    """The most frequent label of an array column; of equals the first class."""
+    if len(classes) == 1:
+        return F.lit(classes[0])
+    return F.greatest(*[F.struct(_equal(values, c).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(classes)])["c"]
+
+
+def _share(each: Column, i: int) -> Column:
+    """Sum of the i-th entries of an array of arrays."""
+    return F.aggregate(each, F.lit(0.0), lambda s, a: s + a[i])
+
+
 def _impurity(stats: np.ndarray, task: str, criterion: str) -> np.ndarray:
     """Impurity along the first axis: class counts, or (w, sum, sum of squares)."""
     if task == "regression":
@@ -120,7 +142,7 @@ def grow(df: DataFrame, columns: list[str], y: str, task: str = "classification"
     cuts = cuts or cut_points(rows, columns, bins)
     w = F.lit(1.0) if weight is None else weight
     t = F.col(y).cast("double") if task == "regression" else F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(y)) - 1
-    binned = [F.aggregate(F.array(*[F.lit(float(v)) for v in cuts[c]]), F.lit(0), lambda s, v, c=c: s + (F.col(c).cast("double") > v).cast("int")) if cuts[c] else F.lit(0) for c in columns]
+    binned = [_bin(F.col(c).cast("double"), cuts[c]) for c in columns]
     base = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], t.alias("__t"), w.cast("double").alias("__w"), F.array(*binned).alias("__bins")).cache()
     width = 3 if task == "regression" else len(classes)
     nodes, active, tree = {0: {"depth": 0}}, [0], Tree(list(columns), task, list(classes), {})
@@ -197,15 +219,14 @@ class Forest:
         """Mean class shares of the trees' leaves."""
         each = F.array(*[t.shares() for t in self.trees])
         k = len(self.classes)
-        return F.array(*[F.aggregate(each, F.lit(0.0), lambda s, a, i=i: s + a[i]) / len(self.trees) for i in range(k)])
+        return F.array(*[_share(each, i) / len(self.trees) for i in range(k)])
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         if self.task == "regression":
             return df.withColumn(output, F.aggregate(F.array(*[t.value() for t in self.trees]), F.lit(0.0), lambda s, v: s + v) / len(self.trees))
         votes = F.array(*[t.value() for t in self.trees])
         out = df.withColumn("__v", votes)
-        best = F.greatest(*[F.struct(F.size(F.filter("__v", lambda v, c=c: v == c)).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(self.classes)]) if len(self.classes) > 1 else F.struct(F.lit(self.classes[0]).alias("c"))
-        return out.withColumn(output, best["c"]).drop("__v")
+        return out.withColumn(output, _voted("__v", self.classes)).drop("__v")
 
 
 def _times(key: str, seed: int) -> Column:
@@ -250,7 +271,7 @@ def forest(df: DataFrame, columns: list[str], y: str, key: str, task: str = "cla
             r = held.select(F.col(y).cast("double").alias("y"), pred.alias("p")).agg(F.avg((F.col("y") - F.col("p")) ** 2).alias("e"), F.var_pop("y").alias("v")).first()
             model.oob_score = 1 - r["e"] / r["v"] if r["v"] else 0.0
         else:
-            best = F.greatest(*[F.struct(F.size(F.filter("__v", lambda v, c=c: v == c)).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(classes)])["c"] if len(classes) > 1 else F.lit(classes[0])
+            best = _voted("__v", classes)
             model.oob_score = held.agg(F.avg((best == F.col(y)).cast("double"))).first()[0]
     return model
 

@@ -1,0 +1 @@
+"""Sufficient statistics over streams."""
