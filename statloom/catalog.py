@@ -792,7 +792,7 @@ def recipe(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     w = windowed(load(spark, d, "events"), "ts", "1 hour", "value", by=["event_type"])
-    return w.select("start", "event_type", "n", F.round("mean", 5).alias("mean"), F.round(F.sqrt(F.greatest("variance", F.lit(0.0))), 5).alias("sd"))
+    return w.select("start", "event_type", "n", F.round("mean", 5).alias("mean"), F.round(F.sqrt(F.when(F.col("variance") < 0, 0.0).otherwise(F.col("variance"))), 5).alias("sd"))
 
 
 @query("""WITH l AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
