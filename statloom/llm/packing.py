@@ -75,15 +75,12 @@ def plan(counts: list[int], weights: list[float] | None, window: int) -> list[St
         q = np.zeros(len(left), np.int64)
         q[live] = quanta(w[live], window)
         carry[~live] = 0
-        # Whole rounds that every live source can fill, then one in which a source may run dry.
-        full = int(((left[live] * UNITS + UNITS - 1 - carry[live]) // q[live]).min())
-        for rounds in (full, 1):
-            if rounds:
-                tokens = np.minimum((carry + rounds * q) // UNITS, left)
-                if tokens.sum():
-                    out.append(Stretch(first, rounds, q.copy(), carry.copy(), served.copy(), tokens))
-                carry = np.where(tokens < left, carry + rounds * q - tokens * UNITS, 0)
-                first, left, served = first + int(tokens.sum()), left - tokens, served + tokens
+        # Up to and with the first round in which a source runs dry.
+        rounds = int((-((carry[live] - left[live] * UNITS) // q[live])).min())
+        tokens = np.minimum((carry + rounds * q) // UNITS, left)
+        out.append(Stretch(first, rounds, q, carry.copy(), served.copy(), tokens))
+        carry = np.where(tokens < left, carry + rounds * q - tokens * UNITS, 0)
+        first, left, served = first + int(tokens.sum()), left - tokens, served + tokens
     return out
 
 

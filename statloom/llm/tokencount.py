@@ -86,7 +86,7 @@ def scan_flat(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) ->
     scanned = found.select(
         "part", "seq", "ends",
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs_before"),
-        F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1)).alias("last_end"),
+        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)).alias("last_end"),
     )
     starts = F.concat(F.array("last_end"), F.expr("slice(ends, 1, size(ends) - 1)"))
     each = scanned.filter(F.size("ends") > 0).select("part", "seq", "docs_before", F.posexplode(F.arrays_zip(starts.alias("prev"), F.col("ends").alias("end"))).alias("i", "at"))
