@@ -72,7 +72,9 @@ def line_features(texts: list[bytes]) -> Lines:
     inner = np.zeros((n, 3))
     a, b = cls[:-1], cls[1:]
     same = buf[1:] == buf[:-1]
-    for k, hit in enumerate(((a == 0) & (b == 1), (a <= 1) & (b >= 5) & (b <= 7), np.append(same[:-1] & same[1:], False))):
+    thrice = np.zeros(len(same), bool)
+    thrice[:-1] = same[:-1] & same[1:]
+    for k, hit in enumerate(((a == 0) & (b == 1), (a <= 1) & (b >= 5) & (b <= 7), thrice)):
         inner[:, k] = np.bincount(line[:-1][hit], minlength=n)
     inner /= np.maximum(size, 1)[:, None]
     # Words that repeat the word before them.
