@@ -240,6 +240,13 @@ def power(a: Column, k: float) -> Column:
     return closure(F.transform(doubles(a), lambda x: F.pow(x, F.lit(float(k)))))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over rows that have both; NULL with a constant side, where ``corr`` raises an error."""
+    a, b = a.cast("double"), b.cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.sqrt(F.var_pop(F.when(both, a)) * F.var_pop(F.when(both, b))), F.lit(0.0)))
+
+
 def dot_columns(names: list[str], weights) -> Column:
     """A weighted sum of columns."""
     out = F.lit(0.0)

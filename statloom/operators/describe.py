@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
 from ..plans.gram import gram
 from ..plans.ordering import picked
 
@@ -83,7 +84,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 def correlation_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """The correlation matrix in long form: a, b, r."""
     pairs = [(a, b) for a in columns for b in columns]
-    r = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    r = df.agg(*[correlation(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.lit(1.0) if a == b else F.coalesce(F.col(f"r{i}"), F.lit(0.0))).alias("r")) for i, (a, b) in enumerate(pairs)])
     return r.select(F.inline(cells))
 

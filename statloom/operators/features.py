@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
 from ..plans.ordering import picked
 from ..sources.models import saveable
 
@@ -191,8 +192,7 @@ def varying(df: DataFrame, columns: list[str], threshold: float = 0.0) -> list[s
 def uncorrelated(df: DataFrame, columns: list[str], threshold: float = 0.95) -> list[str]:
     """Columns left when the later one of each pair with a larger absolute correlation goes."""
     pairs = list(combinations(range(len(columns)), 2))
-    both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a).cast("double"))
-    r = df.agg(*[F.corr(both(columns[i], columns[j]), both(columns[j], columns[i])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]).first() if pairs else []
+    r = df.agg(*[correlation(F.col(columns[i]), F.col(columns[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]).first() if pairs else []
     gone: set[int] = set()
     for k, (i, j) in enumerate(pairs):
         if i not in gone and j not in gone and r[k] is not None and abs(r[k]) > threshold:

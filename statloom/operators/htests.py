@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
 from ..functions.special import binomial_log, chisq_cdf, f_cdf, normal_cdf, normal_quantile, t_cdf
 from ..plans.ordering import average_ranks, indexed, running
 
@@ -184,7 +185,7 @@ def _correlation(r: float, n: int) -> dict:
 
 def pearson(df: DataFrame, a: str, b: str) -> dict:
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-    r = rows.agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n")).first()
+    r = rows.agg(correlation(F.col("a"), F.col("b")).alias("r"), F.count(F.lit(1)).alias("n")).first()
     value = r["r"]
     return _correlation(0.0, r["n"]) | {"p_value": 1.0} if value is None or math.isnan(value) else _correlation(value, r["n"])
 

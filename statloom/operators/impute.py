@@ -147,8 +147,8 @@ class IterativeImputer:
                 g = gram(now.filter(~F.col(f"__g_{c}")), {"1": F.lit(1.0)} | {o: F.col(o) for o in (*others, c)})
                 beta = np.linalg.lstsq(g.g[:-1, :-1], g.g[:-1, -1], rcond=None)[0]
                 models[c] = [float(b) for b in beta]
-                now = now.withColumn(c, F.when(F.col(f"__g_{c}"), cls._value(others, models[c], low, high)).otherwise(F.col(c)))
-            now = settled(now)
+                # Settled for each column: nested projections over all others would grow with every step.
+                now = settled(now.withColumn(c, F.when(F.col(f"__g_{c}"), cls._value(others, models[c], low, high)).otherwise(F.col(c))))
             means = np.array([v or 0.0 for v in now.agg(*[F.avg(F.when(F.col(f"__g_{c}"), F.col(c))) for c in todo]).first()]) if todo else np.zeros(0)
             if last is not None and (not len(means) or np.abs(means - last).max() < tol):
                 break
@@ -162,16 +162,26 @@ class IterativeImputer:
         return v if high is None else F.least(F.lit(float(high)), v)
 
     def transform(self, df: DataFrame, sweeps: int = 10) -> DataFrame:
-        """The fitted regressions applied in turn, ``sweeps`` times, as arithmetic on each row."""
-        df = normalize(df)
-        gap = {c: F.col(c).isNull() for c in self.columns}
-        out = df.withColumns({f"__g_{c}": g for c, g in gap.items()})
-        out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(self.start[c]))) for c in self.columns})
-        for _ in range(sweeps if len(self.models) > 1 else 1):
-            for c, beta in self.models.items():
-                others = [o for o in self.columns if o != c]
-                out = out.withColumn(c, F.when(F.col(f"__g_{c}"), self._value(others, beta, self.low, self.high)).otherwise(F.col(c)))
-        return out.drop(*[f"__g_{c}" for c in self.columns])
+        """The fitted regressions applied in turn, ``sweeps`` times, on Arrow batches of the columns concerned."""
+        columns, models, start, low, high = self.columns, self.models, self.start, self.low, self.high
+        low, high = -np.inf if low is None else low, np.inf if high is None else high
+
+        @F.pandas_udf("array<double>")
+        def filled(*series):
+            import pandas as pd
+
+            x = np.column_stack([s.to_numpy(float) for s in series])
+            gap = np.isnan(x)
+            x = np.where(gap, [float(start[c]) for c in columns], x)
+            for _ in range(sweeps if len(models) > 1 else 1):
+                for c, beta in models.items():
+                    j = columns.index(c)
+                    at = gap[:, j]
+                    x[at, j] = np.clip(np.delete(x[at], j, 1) @ beta[1:] + beta[0], low, high)
+            return pd.Series(list(x))
+
+        out = normalize(df).withColumn("__x", filled(*[F.col(c).cast("double") for c in columns]))
+        return out.withColumns({c: F.col("__x")[i] for i, c in enumerate(columns)}).drop("__x")
 
 
 @saveable

@@ -30,11 +30,16 @@ def statistics(sums: DataFrame, pair: bool = False) -> DataFrame:
     return sums.withColumns(columns)
 
 
+def watermarked(rows: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks need times with a zone; those without are taken in the session's."""
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed(stream: DataFrame, time: str, width: str, x: str, y: str | None = None, by: list[str] | None = None, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """start, end, keys and statistics by time window of a stream or a table; rows later than ``late`` are dropped by streams."""
     rows = normalize(stream)
     if rows.isStreaming:
-        rows = rows.withWatermark(time, late)
+        rows = watermarked(rows, time, late)
     sums = rows.groupBy(F.window(time, width, slide).alias("w") if slide else F.window(time, width).alias("w"), *(by or [])).agg(*moments(x, y))
     out = statistics(sums, y is not None)
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *(by or []), *[c for c in out.columns if c not in ("w", *(by or []))])
@@ -44,7 +49,7 @@ def sessions(stream: DataFrame, time: str, gap: str, user: str, x: str, late: st
     """Statistics by session: a user's rows with gaps of less than ``gap``."""
     rows = normalize(stream)
     if rows.isStreaming:
-        rows = rows.withWatermark(time, late)
+        rows = watermarked(rows, time, late)
     sums = rows.groupBy(F.session_window(time, gap).alias("w"), user).agg(*moments(x))
     out = statistics(sums)
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), user, "n", "mean", "variance")
