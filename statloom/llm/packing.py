@@ -164,3 +164,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weigh
 
     n = max(1, files.count())
     return files.repartition(n).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+
+
+def sequences(pieces: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:
+    """sequence_id, n_tokens and ids (little-endian 32-bit numbers, padded to ``window``) of pack(..., with_ids=True).
+
+    A sequence has at most ``window`` pieces, so its group is small. A last sequence whose length is a power
+    of two is not padded.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    made = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda s, p: F.concat(s, p["ids"]))
+    whole = F.col("n_tokens").bitwiseAND(F.col("n_tokens") - 1) == 0
+    pad = F.unhex(F.expr(f"repeat('{pad_id.to_bytes(4, 'little').hex()}', cast({window} - n_tokens as int))"))
+    return made.select("sequence_id", "n_tokens", F.when(whole, ids).otherwise(F.concat(ids, pad)).alias("ids"))

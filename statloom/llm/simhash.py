@@ -222,7 +222,6 @@ def shards_of(fps: DataFrame, radius: int, out: str, capacity: int) -> DataFrame
 
 def components(links: DataFrame, out: str) -> DataFrame:
     """fp, label (the smallest fp reachable) of every point of the stars ``links`` (fp, root)."""
-    spark = links.sparkSession
     stars = written(links.distinct().unionByName(links.select(F.col("root").alias("fp"), "root").distinct()).distinct(), f"{out}/stars")
     labels = written(stars.groupBy("fp").agg(F.min("root").alias("label")), f"{out}/labels-0")
     salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
@@ -240,7 +239,6 @@ def components(links: DataFrame, out: str) -> DataFrame:
         jump = near.select(F.col("label").alias("at")).distinct().join(near.select(F.col("fp").alias("at"), F.col("label").alias("to")), "at").withColumn("salt", every)
         labels = near.withColumn("salt", salt).join(jump.withColumnRenamed("at", "label"), ["label", "salt"]).select("fp", F.col("to").alias("label"))
         labels = written(labels, f"{out}/labels-{step}")
-        spark.catalog.clearCache() if step % 50 == 0 else None
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, capacity: int = CAPACITY, out: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ import struct
 import zlib
 from array import array
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -223,7 +223,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_b
     return written(ordered.mapInArrow(run, MANIFEST), f"{out}/manifest")
 
 
-def read_shards(manifest: DataFrame, row: Callable[[bytes, int], int] | None = None) -> DataFrame:
+def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
     The shards' starts are a running sum over the manifest (a row per shard); then each shard is one task.

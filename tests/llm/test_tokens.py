@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from statloom.llm.common import work_dir
-from statloom.llm.packing import pack, places, plan
+from statloom.llm.packing import pack, places, plan, sequences
 from statloom.llm.queries import tokenizer_file
 from statloom.llm.sstable import Shard, token_shards, write_shards
 from statloom.llm.tokencount import flat_files, scan_flat, token_counts
@@ -171,3 +171,16 @@ def test_packing_to_weights(spark, docs):
         if r["sequence_id"] < 4:
             first[r["source"]] += r["length"]
     assert first["s1"] > 1.5 * first["hot"] and sum(first.values()) == 4 * 64
+
+
+def test_sequences_are_built(spark, docs):
+    pieces = pack(docs, WORD, 2, 256, with_ids=True).cache()
+    got = {r["sequence_id"]: r for r in sequences(pieces, 256, 7).collect()}
+    want: dict = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        want[r["sequence_id"]] = want.get(r["sequence_id"], b"") + bytes(r["ids"])
+    assert sorted(got) == sorted(want)
+    for k, v in want.items():
+        n = len(v) // 4
+        assert got[k]["n_tokens"] == n and bytes(got[k]["ids"]) == v + (b"" if n & n - 1 == 0 else (7).to_bytes(4, "little") * (256 - n))
+    pieces.unpersist()
