@@ -81,7 +81,7 @@ def gower(pairs: list[tuple[Column, Column]], kinds: list[float | None]) -> Colu
     return F.try_divide(num, den)
 
 
-# Links: (link, inverse, derivative of the inverse), clamped where they would overflow.
+# Links: (link, inverse, derivative of the inverse given eta and mu), clamped where they would overflow.
 _TINY, _BIG = 1e-10, 700.0
 
 
@@ -136,17 +136,13 @@ def normal_inverse(p: Column) -> Column:
 
 
 LINKS: dict[str, tuple[Callable, Callable, Callable]] = {
-    "identity": (lambda m: m, lambda e: e, lambda e: F.lit(1.0)),
-    "log": (lambda m: F.log(_positive(m)), lambda e: F.exp(F.least(e, F.lit(_BIG))), lambda e: F.exp(F.least(e, F.lit(_BIG)))),
-    "logit": (
-        lambda m: F.log(_probability(m) / (1 - _probability(m))),
-        lambda e: 1 / (1 + F.exp(-F.greatest(F.lit(-_BIG), F.least(F.lit(_BIG), e)))),
-        lambda e: F.greatest(F.lit(_TINY), (lambda m: m * (1 - m))(1 / (1 + F.exp(-F.greatest(F.lit(-_BIG), F.least(F.lit(_BIG), e)))))),
-    ),
-    "probit": (lambda m: normal_inverse(_probability(m)), lambda e: _probability(normal_cumulative(e)), lambda e: F.greatest(F.lit(_TINY), normal_density(e))),
-    "inverse": (lambda m: 1 / m, lambda e: F.try_divide(F.lit(1.0), e), lambda e: -F.try_divide(F.lit(1.0), e * e)),
-    "inverse_squared": (lambda m: 1 / (m * m), lambda e: 1 / F.sqrt(_positive(e)), lambda e: -0.5 * F.pow(_positive(e), F.lit(-1.5))),
-    "sqrt": (lambda m: F.sqrt(F.greatest(m, F.lit(0.0))), lambda e: e * e, lambda e: 2 * e),
+    "identity": (lambda m: m, lambda e: e, lambda e, m: F.lit(1.0)),
+    "log": (lambda m: F.log(_positive(m)), lambda e: F.exp(F.least(e, F.lit(_BIG))), lambda e, m: m),
+    "logit": (lambda m: F.log(_probability(m) / (1 - _probability(m))), lambda e: _probability(1 / (1 + F.exp(-e))), lambda e, m: m * (1 - m)),
+    "probit": (lambda m: normal_inverse(_probability(m)), lambda e: _probability(normal_cumulative(e)), lambda e, m: F.greatest(F.lit(_TINY), normal_density(e))),
+    "inverse": (lambda m: 1 / m, lambda e: F.try_divide(F.lit(1.0), e), lambda e, m: -m * m),
+    "inverse_squared": (lambda m: 1 / (m * m), lambda e: 1 / F.sqrt(_positive(e)), lambda e, m: -0.5 * m * m * m),
+    "sqrt": (lambda m: F.sqrt(F.greatest(m, F.lit(0.0))), lambda e: e * e, lambda e, m: 2 * e),
 }
 
 

@@ -188,14 +188,16 @@ def glm(df: DataFrame, formula: str, family: str = "gaussian", link: str | None
             else:
                 eta = linear(names, beta) + o
                 mu = g_inverse(eta)
-            staged = rows.withColumns({"__eta": eta}).withColumn("__mu", mu)
-            slope = g_slope(F.col("__eta"))
-            z = F.col("__eta") - o + (y - F.col("__mu")) / slope
-            ww = F.lit(1.0) if one_pass else slope * slope / variance(F.col("__mu"), theta)
-            made = gram(staged.withColumns({"__z": z if not one_pass else y - o, "__ww": w * ww, "__dev": F.lit(0.0) if one_pass else w * unit(y, F.col("__mu"), theta) / F.greatest(w * ww, F.lit(1e-300))}), x | {"__z": F.col("__z"), "__dev": F.col("__dev")}, F.col("__ww"))
             p = len(names)
+            if one_pass:
+                made = gram(rows.withColumn("__z", y - o), x | {"__z": F.col("__z")}, w)
+            else:
+                # One step a column, each from columns made before: the code for a row stays small.
+                staged = rows.withColumn("__eta", eta).withColumn("__mu", mu).withColumn("__slope", g_slope(F.col("__eta"), F.col("__mu")))
+                staged = staged.withColumns({"__z": F.col("__eta") - o + (y - F.col("__mu")) / F.col("__slope"), "__ww": w * F.col("__slope") * F.col("__slope") / variance(F.col("__mu"), theta)})
+                made = gram(staged, x | {"__z": F.col("__z")}, F.col("__ww"), w * unit(y, F.col("__mu"), theta))
             beta, inv = solve(made.g[:p, :p] + ridge * np.eye(p), made.g[:p, p])
-            deviance = float(made.s[p + 1])
+            deviance = made.extra
             if one_pass:
                 converged = True
                 break
@@ -410,7 +412,7 @@ def mixed(df: DataFrame, formula: str, family: str = "gaussian", link: str | Non
                 staged = rows.join(table, "__g").withColumn("__eta", eta)
             if not gaussian:
                 staged = staged.withColumn("__mu", g_inverse(F.col("__eta")))
-                slope = g_slope(F.col("__eta"))
+                slope = g_slope(F.col("__eta"), F.col("__mu"))
                 staged = staged.withColumn("__t", F.col("__eta") + (F.col("__y") - F.col("__mu")) / slope)
                 w = slope * slope / variance(F.col("__mu"), 1.0)
             grams = gram_by(staged, "__g", columns, w)

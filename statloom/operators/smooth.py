@@ -166,7 +166,7 @@ def gam(df: DataFrame, y: str, columns: list[str], family: str = "gaussian", n_s
         for _ in range(max_iter):
             eta = g_link(start(yy, None)) if b is None else linear(names, b)
             staged = rows.withColumn("__e", eta).withColumn("__m", g_inverse(F.col("__e")))
-            sl = g_slope(F.col("__e"))
+            sl = g_slope(F.col("__e"), F.col("__m"))
             g = gram(staged.withColumns({"__z": F.col("__e") + (yy - F.col("__m")) / sl, "__w": sl * sl / variance(F.col("__m"), 1.0)}), [*names, "__z"], F.col("__w"))
             lam = _choose(g, s, k, method, lam)
             b, inv, edf, _ = _penalised(g, s, lam, k)

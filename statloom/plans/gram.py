@@ -14,12 +14,13 @@ MAX_NATIVE = 24
 
 @dataclass
 class Gram:
-    """Sums over rows: n (weights), s[i] = sum w x_i, g[i, j] = sum w x_i x_j."""
+    """Sums over rows: n (weights), s[i] = sum w x_i, g[i, j] = sum w x_i x_j; extra: a plain sum asked for beside."""
 
     names: list[str]
     n: float
     s: np.ndarray
     g: np.ndarray
+    extra: float = 0.0
 
     @property
     def mean(self) -> np.ndarray:
@@ -45,18 +46,18 @@ def _unpack(names: list[str], row) -> Gram:
     g = np.zeros((p, p))
     at = np.triu_indices(p)
     g[at] = flat[1 + p :]
-    return Gram(list(names), flat[0], flat[1 : 1 + p], g + np.triu(g, 1).T)
+    return Gram(list(names), flat[0], flat[1 : 1 + p], g + np.triu(g, 1).T, float(row["__extra"] or 0.0) if "__extra" in row else 0.0)
 
 
-def _native(df: DataFrame, cols: list[Column], weight: Column | None, by: list[str]) -> DataFrame:
+def _native(df: DataFrame, cols: list[Column], weight: Column | None, by: list[str], extra: bool = False) -> DataFrame:
     w = F.lit(1.0) if weight is None else weight
-    named = df.select(*by, w.cast("double").alias("__w"), *[c.cast("double").alias(f"__x{i}") for i, c in enumerate(cols)])
+    named = df.select(*by, w.cast("double").alias("__w"), *[c.cast("double").alias(f"__x{i}") for i, c in enumerate(cols)], *(["__e"] if extra else []))
     x = [F.col(f"__x{i}") for i in range(len(cols))]
     ww = F.col("__w")
     terms = [F.sum(ww)] + [F.sum(ww * a) for a in x] + [F.sum(ww * a * b) for i, a in enumerate(x) for b in x[i:]]
     named_terms = [t.alias(f"__s{i}") for i, t in enumerate(terms)]
-    agg = named.groupBy(*by).agg(*named_terms)
-    return agg.select(*by, F.array(*[F.col(f"__s{i}") for i in range(len(terms))]).alias("__all"))
+    agg = named.groupBy(*by).agg(*named_terms, *([F.sum("__e").alias("__extra")] if extra else []))
+    return agg.select(*by, F.array(*[F.col(f"__s{i}") for i in range(len(terms))]).alias("__all"), *(["__extra"] if extra else []))
 
 
 def _batched(df: DataFrame, cols: list[Column], weight: Column | None) -> DataFrame:
@@ -82,12 +83,16 @@ def _batched(df: DataFrame, cols: list[Column], weight: Column | None) -> DataFr
     return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("__all"))
 
 
-def gram(df: DataFrame, columns: dict[str, Column] | list[str], weight: Column | None = None) -> Gram:
-    """The Gram of named columns; rows with a missing column are left out."""
+def gram(df: DataFrame, columns: dict[str, Column] | list[str], weight: Column | None = None, extra: Column | None = None) -> Gram:
+    """The Gram of named columns, and the sum of ``extra``; rows with a missing column are left out."""
     columns = {c: F.col(c) for c in columns} if isinstance(columns, list) else columns
-    named = df.select(*[c.cast("double").alias(k) for k, c in columns.items()], *([weight.cast("double").alias("__weight")] if weight is not None else [])).dropna()
+    named = df.select(*[c.cast("double").alias(k) for k, c in columns.items()], *([weight.cast("double").alias("__weight")] if weight is not None else []), *([extra.cast("double").alias("__e")] if extra is not None else [])).dropna()
     cols, w = [F.col(f"`{k}`") for k in columns], None if weight is None else F.col("__weight")
-    made = _native(named, cols, w, []) if len(cols) <= MAX_NATIVE else _batched(named, cols, w)
+    if len(cols) <= MAX_NATIVE:
+        made = _native(named, cols, w, [], extra is not None)
+    else:
+        made = _batched(named, cols, w)
+        made = made if extra is None else made.crossJoin(F.broadcast(named.agg(F.sum("__e").alias("__extra"))))  # one row each
     row = made.first()
     if row is None or not row["__all"]:
         p = len(cols)

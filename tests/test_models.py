@@ -48,7 +48,7 @@ def test_links_invert(spark):
     for name, (link, inverse, slope) in fc.LINKS.items():
         mu, h = 0.37, 1e-5
         e = spark.range(1).select(link(F.lit(mu)).alias("e")).first()["e"]
-        got = spark.range(1).select(inverse(F.lit(e)), slope(F.lit(e)), inverse(F.lit(e + h)), inverse(F.lit(e - h))).first()
+        got = spark.range(1).select(inverse(F.lit(e)), slope(F.lit(e), inverse(F.lit(e))), inverse(F.lit(e + h)), inverse(F.lit(e - h))).first()
         assert got[0] == pytest.approx(mu, abs=1e-6), name
         assert got[1] == pytest.approx((got[2] - got[3]) / 2 / h, rel=1e-3), name
 
