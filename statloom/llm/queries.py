@@ -93,7 +93,46 @@ QUERIES: dict[str, Query] = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: The schedule slot by slot: a "plan" step deals the parts of 1,000 to the sources that have blocks left, a
+#: "take" step gives the slot to the released block with the earliest deadline. 65536 characters a block.
+MIXING_SQL = """
+    WITH RECURSIVE d AS (
+        SELECT doc_id, source, coalesce(source, '') AS s, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents
+    ),
+    placed AS (SELECT *, CAST(sum(size) OVER (PARTITION BY s ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS begin FROM d),
+    src AS (SELECT s, CAST(ceil(sum(size) / 65536.0) AS BIGINT) AS n, sqrt(CAST(sum(size) AS DOUBLE)) AS w FROM d GROUP BY 1),
+    run AS (
+        SELECT list({'s': s, 'w': w, 'n': n, 'taken': CAST(0 AS BIGINT), 'part': CAST(0 AS BIGINT), 'done': CAST(0 AS BIGINT)} ORDER BY s) AS st,
+               true AS planning, CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS t0, CAST(NULL AS VARCHAR) AS s, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS release, CAST(0 AS BIGINT) AS deadline
+        FROM src
+        UNION ALL
+        SELECT
+            CASE WHEN planning THEN list_transform(sized, lambda x: {'s': x.s, 'w': x.w, 'n': x.n, 'taken': x.taken, 'part': CASE WHEN x.taken < x.n THEN x.base + CAST(len(list_filter(sized, lambda y: y.taken < y.n AND (y.base - y.exact < x.base - x.exact OR (y.base - y.exact = x.base - x.exact AND y.s < x.s)))) < 1000 - base_sum AS BIGINT) ELSE 0 END, 'done': CAST(0 AS BIGINT)})
+                 WHEN blocked THEN st
+                 ELSE list_transform(st, lambda x: {'s': x.s, 'w': x.w, 'n': x.n, 'taken': x.taken + CAST(x.s = pick.s AS BIGINT), 'part': x.part, 'done': x.done + CAST(x.s = pick.s AS BIGINT)}) END,
+            NOT planning AND blocked,
+            CASE WHEN planning OR blocked THEN slot ELSE slot + 1 END,
+            CASE WHEN planning THEN slot ELSE t0 END,
+            CASE WHEN planning OR blocked THEN NULL ELSE pick.s END,
+            CASE WHEN planning OR blocked THEN NULL ELSE pick.taken END,
+            CASE WHEN planning OR blocked THEN NULL ELSE t0 + pick.done * 1000 // pick.part END,
+            CASE WHEN planning OR blocked THEN NULL ELSE t0 + pick.d END
+        FROM (
+            SELECT *, coalesce(pick.taken >= pick.n, false) AS blocked, list_sum(list_transform(list_filter(sized, lambda x: x.taken < x.n), lambda x: x.base)) AS base_sum
+            FROM (
+                SELECT *,
+                    list_transform(st, lambda x: {'s': x.s, 'w': x.w, 'n': x.n, 'taken': x.taken, 'exact': x.w / total * 1000, 'base': CAST(greatest(1, floor(x.w / total * 1000)) AS BIGINT)}) AS sized,
+                    list_min(list_transform(list_filter(st, lambda x: x.part > 0 AND x.done * 1000 // greatest(x.part, 1) <= slot - t0), lambda x: {'d': ((x.done + 1) * 1000 + x.part - 1) // x.part, 's': x.s, 'taken': x.taken, 'n': x.n, 'done': x.done, 'part': x.part})) AS pick
+                FROM (SELECT st, planning, slot, t0, list_sum(list_transform(list_filter(st, lambda x: x.taken < x.n), lambda x: x.w)) AS total FROM run WHERE len(list_filter(st, lambda x: x.taken < x.n)) > 0)
+            )
+        )
+    )
+    SELECT p.doc_id, p.source, p.size, p.begin, r.block, r.release, r.deadline, r.slot - 1 AS slot
+    FROM placed p JOIN run r ON p.s = r.s AND p.begin // 65536 = r.block
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": MIXING_SQL,
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
