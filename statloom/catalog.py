@@ -82,6 +82,13 @@ def table_drop_missing(spark, d):
     return table.drop_missing(li, ["q"])
 
 
+@query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority_idx, CAST(o_orderstatus = 'F' AS INT) AS o_orderstatus_F, CAST(o_orderstatus = 'O' AS INT) AS o_orderstatus_O FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def table_preprocess(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    p = table.Preprocessor.fit(o, valid={"o_orderstatus": ["F", "O"]}, label=["o_orderpriority"], one_hot=["o_orderstatus"])
+    return p.transform(o).select("o_orderkey", F.col("o_orderpriority_idx").cast("long"), "o_orderstatus_F", "o_orderstatus_O")
+
+
 @query("SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment_idx FROM customer")
 def label_encode_sorted(spark, d):
     c = load(spark, d, "customer")
@@ -298,6 +305,15 @@ def near(spark, d, k: int) -> DataFrame:
     return neighbors.neighbors(e, e, ["embedding"], "vec_id", "vec_id", k, exclude_self=True, extra=["label"])
 
 
+@query("""WITH r AS (SELECT max(p_size) - min(p_size) AS s, max(p_retailprice) - min(p_retailprice) AS p FROM part)
+SELECT a.p_partkey, round((abs(a.p_size - b.p_size) / s + abs(a.p_retailprice - b.p_retailprice) / p + CAST(a.p_brand <> b.p_brand AS INT)) / 3, 6) AS gower FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1, r""")
+def distance_gower(spark, d):
+    p, names = load(spark, d, "part"), ["p_size", "p_retailprice", "p_brand"]
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), *[F.col(c).alias(f"o_{c}") for c in names])
+    g = fc.gower([(F.col(c), F.col(f"o_{c}")) for c in names], neighbors.gower_ranges(p, names))
+    return p.join(other, "p_partkey").select("p_partkey", F.round(g, 6).alias("gower"))
+
+
 @query(f"WITH p AS ({PAIRS}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbor) AS INT) AS rank FROM p) SELECT query, neighbor, round(distance, 5) AS distance, rank FROM r WHERE rank <= 5")
 def knn_topk(spark, d):
     return rounded(near(spark, d, 5).drop("label"), 5)
@@ -349,6 +365,13 @@ def silhouette(spark, d):
     return rounded(cluster.silhouette_samples(load(spark, d, "embeddings"), ["embedding"], "vec_id", "label"), 5)
 
 
+@query("""WITH p AS (SELECT a.vec_id, a.label, b.label AS other, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, label, other, avg(d) AS d FROM p GROUP BY 1, 2, 3), s AS (SELECT vec_id, label AS cluster, coalesce(max(CASE WHEN other = label THEN d END), 0) AS a, min(CASE WHEN other <> label THEN d END) AS b FROM m GROUP BY 1, 2)
+SELECT cluster, count(*) AS n, round(avg((b - a) / greatest(a, b)), 5) AS mean FROM s GROUP BY 1""")
+def silhouette_by_cluster(spark, d):
+    return rounded(cluster.silhouette_by_cluster(cluster.silhouette_samples(load(spark, d, "embeddings"), ["embedding"], "vec_id", "label")), 5)
+
+
 @query("""WITH a AS (SELECT p_size, p_retailprice, (p_size - 10) * (p_size - 10) + (p_retailprice - 1000) * (p_retailprice - 1000) AS d0, (p_size - 40) * (p_size - 40) + (p_retailprice - 1500) * (p_retailprice - 1500) AS d1 FROM part)
 SELECT CAST(d1 < d0 AS INT) AS cluster, count(*) AS n, round(sum(least(d0, d1)) / count(*), 3) AS inertia, round(avg(p_size), 5) AS p_size, round(avg(p_retailprice), 4) AS p_retailprice FROM a GROUP BY 1""")
 def kmeans_step(spark, d):

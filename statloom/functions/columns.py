@@ -236,6 +236,31 @@ def power(a: Column, k: float) -> Column:
     return closure(F.transform(doubles(a), lambda x: F.pow(x, F.lit(float(k)))))
 
 
+EPSILON = 1e-10
+
+
+def approx_equal(a: Column, b: Column, tolerance: float = EPSILON) -> Column:
+    return F.abs(a - b) < tolerance
+
+
+def _guarded(x: Column, bad: Column, message: str) -> Column:
+    return F.when(bad, F.raise_error(F.lit(message)).cast("double")).otherwise(x.cast("double"))
+
+
+def guard_finite(x: Column) -> Column:
+    """The column, or an error at NaN or infinity."""
+    v = x.cast("double")
+    return _guarded(x, F.isnan(v) | (F.abs(v) == math.inf), "a finite number expected")
+
+
+def guard_positive(x: Column) -> Column:
+    return _guarded(x, x <= 0, "a positive number expected")
+
+
+def guard_probability(x: Column) -> Column:
+    return _guarded(x, (x < 0) | (x > 1), "a probability expected")
+
+
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's correlation over rows that have both; NULL with a constant side, where ``corr`` raises an error."""
     a, b = a.cast("double"), b.cast("double")

@@ -478,3 +478,9 @@ def likelihood_ratio(small: GLM, large: GLM) -> dict:
 def pairwise_likelihood_ratios(models: list[GLM]) -> list[dict]:
     order = sorted(models, key=lambda m: len(m.terms))
     return [likelihood_ratio(a, b) for a, b in zip(order, order[1:]) if len(b.terms) > len(a.terms)]
+
+
+def coefficient_table(models: dict[str, GLM], df: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """model, term, estimate, low, high of several models, in long form."""
+    rows = [(name, t, float(b), float(lo), float(hi)) for name, m in models.items() for t, b, (lo, hi) in zip(m.terms, m.coefficients, m.confint(alpha))]
+    return df.sparkSession.createDataFrame(rows, "model string, term string, estimate double, low double, high double")

@@ -159,3 +159,13 @@ def kd_split(x: np.ndarray, leaf: int = 64) -> list[np.ndarray]:
         half = math.ceil(len(order) / 2)
         stack += [order[half:], order[:half]]
     return out
+
+
+def gower_ranges(df: DataFrame, columns: list[str]) -> list[float | None]:
+    """What gower() needs of each column: the range of a numeric one, None for text."""
+    from ..sources.tables import is_numeric
+
+    kinds = dict(df.dtypes)
+    number = [c for c in columns if is_numeric(kinds[c])]
+    r = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in number]).first() if number else {}
+    return [float(r[c] or 0.0) if c in number else None for c in columns]

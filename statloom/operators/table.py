@@ -140,3 +140,32 @@ def prepare(df: DataFrame, x: list[str], y: str | None = None, na_omit: bool = T
         else:
             names += made
     return Prepared(df, names, y, fitted)
+
+
+@dataclass
+class Preprocessor:
+    """Parsing, cleaning, label- and one-hot-encoding in this order, with the encoders that were fitted."""
+
+    numeric: list[str]
+    valid: dict[str, list]
+    labels: dict[str, LabelEncoder]
+    one_hot: OneHotEncoder | None
+    removed: int = 0
+
+    @classmethod
+    def fit(cls, df: DataFrame, numeric: list[str] = (), valid: dict[str, list] | None = None, label: list[str] = (), one_hot: list[str] = (), drop_first: bool = False) -> Preprocessor:
+        n = df.count() if valid else 0
+        df = clean_categorical(parse_numeric(df, list(numeric)), valid or {})
+        hot = OneHotEncoder.fit(df, list(one_hot), drop_first=drop_first) if one_hot else None
+        return cls(list(numeric), valid or {}, {c: LabelEncoder.fit(df, c) for c in label}, hot, n - df.count() if valid else 0)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        df = clean_categorical(parse_numeric(df, self.numeric), self.valid)
+        for c, e in self.labels.items():
+            df = e.transform(df, c, f"{c}_idx")
+        return self.one_hot.transform(df) if self.one_hot else df
+
+
+def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows by the smallest hashes of a unique key (a sampling operator)."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)

@@ -423,6 +423,17 @@ def test_interpretation(line):
     assert interpret.centroids(line, "c", "x", "z").count() == 2
 
 
+def test_small_helpers(spark, line):
+    row = spark.range(1).select(fc.approx_equal(F.lit(1.0), F.lit(1.0 + 1e-12)), fc.guard_probability(F.lit(0.5)), fc.guard_positive(F.lit(2)), fc.guard_finite(F.lit(1.5))).first()
+    assert tuple(row) == (True, 0.5, 2.0, 1.5)
+    for bad in (fc.guard_probability(F.col("id") + 1.5), fc.guard_positive(F.col("id") * -1.0), fc.guard_finite(F.col("id") + math.inf)):
+        with pytest.raises(Exception):
+            spark.range(1).select(bad).collect()
+    assert table.sample_rows(line, ["k"], 7).count() == 7
+    t = glm.coefficient_table({"a": glm.lm(line, "y ~ x"), "b": glm.lm(line, "y ~ x + z")}, line)
+    assert t.count() == 5 and t.filter("low <= estimate AND estimate <= high").count() == 5
+
+
 def test_saving_odd_values():
     v = {"a": [1.5, math.inf, -math.inf, None], 3: (1, "x"), "m": np.eye(2)}
     back = models.load(models.save(v))
