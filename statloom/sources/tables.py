@@ -20,14 +20,18 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, k in df.dtypes if k in FLOATS}) if any(k in FLOATS for _, k in df.dtypes) else df
 
 
-def read(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **options) -> DataFrame:
-    """A table from parquet, orc, csv or json files; csv and json take a schema rather than guess one."""
+def read(spark: SparkSession, path: str, kind: str = "parquet", schema=None, nan_to_null: bool = True, **options) -> DataFrame:
+    """A table from parquet, orc, csv or json files; csv and json take a schema rather than guess one.
+
+    nan_to_null=False for tables known to hold no NaN: then filters on their numbers reach the scan.
+    """
     reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     elif kind in ("csv", "json"):
         raise ValueError("csv and json need a schema")
-    return normalize(reader.format(kind).load(path))
+    df = reader.format(kind).load(path)
+    return normalize(df) if nan_to_null else df
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
