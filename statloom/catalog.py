@@ -824,3 +824,227 @@ SELECT user_id, min(ts) AS start, count(*) AS n, round(avg(value), 5) AS mean FR
 def stream_sessions(spark, d):
     s = sessions(load(spark, d, "events"), "ts", "30 minutes", "user_id", "value")
     return s.select("user_id", "start", "n", F.round("mean", 5).alias("mean"))
+
+
+# More of each family.
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS fold FROM orders")
+def leave_one_out(spark, d):
+    return resample.leave_one_out(load(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query("SELECT CAST(greatest(1, floor(count(*) * 0.2)) AS BIGINT) AS n1, CAST(greatest(1, floor(count(*) * 0.2)) AS BIGINT) AS n2 FROM customer")
+def shuffle_split(spark, d):
+    s = resample.shuffle_splits(load(spark, d, "customer").select("c_custkey"), ["c_custkey"], 2)
+    return s.agg(F.sum(F.col("test_1").cast("long")).alias("n1"), F.sum(F.col("test_2").cast("long")).alias("n2"))
+
+
+@query("SELECT CAST(floor(count(*) * 0.8) AS BIGINT) AS train, CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS test FROM orders")
+def split_shuffled(spark, d):
+    s = resample.train_test_split(load(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], seed=7)
+    return s.agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+
+
+@query("WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem) SELECT max(CASE WHEN i = CAST(CASE WHEN 0.9 * (n - 1) - floor(0.9 * (n - 1)) > 0.5 THEN ceil(0.9 * (n - 1)) ELSE floor(0.9 * (n - 1)) END AS BIGINT) THEN v END) AS p90 FROM s")
+def quantile_nearest(spark, d):
+    return one_row(spark, {"p90": float(describe.nearest_quantile(load(spark, d, "lineitem"), "l_extendedprice", 0.9))})
+
+
+@query("WITH s AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) - 1 AS i, count(*) OVER () AS n FROM part), m AS (SELECT max(CASE WHEN i = n // 2 THEN v END) AS m FROM s) SELECT round(avg(abs(v - m)), 5) AS mae FROM s, m")
+def impurity_absolute(spark, d):
+    return one_row(spark, {"mae": round(describe.absolute_impurity(load(spark, d, "part"), "p_retailprice"), 5)})
+
+
+@query("""WITH c AS (SELECT l_quantity <= 25 AS side, l_returnflag AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT side, sum(n) AS n, 1 - sum(n * n) / (sum(n) * sum(n)) AS g FROM c GROUP BY 1),
+w AS (SELECT 1 - sum(n * n) / (sum(n) * sum(n)) AS g, sum(n) AS n FROM (SELECT y, sum(n) AS n FROM c GROUP BY 1)) SELECT round(w.g - (SELECT sum(p.n * p.g) FROM p) / w.n, 8) AS gain FROM w""")
+def information_gain(spark, d):
+    return one_row(spark, {"gain": round(describe.information_gain(load(spark, d, "lineitem"), "l_returnflag", F.col("l_quantity") <= 25), 8)})
+
+
+@query("SELECT unnest(CASE WHEN var_pop(l_tax) > 0.5 THEN ['l_quantity', 'l_tax'] ELSE ['l_quantity'] END) AS kept FROM lineitem")
+def select_by_variance(spark, d):
+    return spark.createDataFrame([(c,) for c in features.varying(load(spark, d, "lineitem"), ["l_quantity", "l_tax"], 0.5)], "kept string")
+
+
+@query("SELECT unnest(['l_quantity', 'l_tax']) AS kept")
+def select_by_correlation(spark, d):
+    li = load(spark, d, "lineitem").withColumn("twice", F.col("l_quantity") * 2 + 1)
+    return spark.createDataFrame([(c,) for c in features.uncorrelated(li, ["l_quantity", "twice", "l_tax"])], "kept string")
+
+
+@query("WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem), k AS (SELECT unnest([1, 2, 3]) AS k) SELECT k, max(CASE WHEN i = CAST(floor(k / 4.0 * (n - 1)) AS BIGINT) THEN v END) AS knot FROM s, k GROUP BY 1")
+def spline_knots(spark, d):
+    at = features.knots(load(spark, d, "lineitem"), "l_extendedprice", 3)
+    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(at)], "k int, knot double")
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS b1, pow(greatest(p_size - 10, 0), 3) AS b2, pow(greatest(p_size - 30, 0), 3) AS b3 FROM part")
+def spline_basis(spark, d):
+    p = load(spark, d, "part")
+    return p.select("p_partkey", *[c.alias(f"b{i + 1}") for i, c in enumerate(features.truncated_power_basis(F.col("p_size"), [10, 30]))])
+
+
+@query(f"WITH p AS ({PARTS}), m AS (SELECT exp((avg(ln(a)) + avg(ln(b)) + avg(ln(c))) / 3) AS g FROM p) SELECT l_suppkey, round(a / g / (a / g + b / g + c / g), 6) AS a FROM p, m")
+def coda_center(spark, d):
+    return rounded(features.centered_composition(compositions(spark, d), ["a", "b", "c"]).select("l_suppkey", "a"))
+
+
+@query(f"WITH p AS ({PARTS}), l AS (SELECT l_suppkey, ln(a) - (ln(a) + ln(b) + ln(c)) / 3 AS x, ln(b) - (ln(a) + ln(b) + ln(c)) / 3 AS y, ln(c) - (ln(a) + ln(b) + ln(c)) / 3 AS z, a * a / (a * a + b * b + c * c) AS s FROM p) SELECT l_suppkey, round(x * x + y * y + z * z, 6) AS inner_self, round(s, 6) AS squared FROM l")
+def coda_inner_power(spark, d):
+    x = F.array("a", "b", "c")
+    return rounded(compositions(spark, d).select("l_suppkey", fc.aitchison_inner(x, x).alias("inner_self"), fc.power(x, 2)[0].alias("squared")))
+
+
+@query()
+def impute_composition(spark, d):
+    p = compositions(spark, d).withColumn("b", F.when(F.col("l_suppkey") % 4 != 0, F.col("b")))
+    return rounded(impute.CompositionalImputer.fit(p, ["a", "b", "c"]).transform(p))
+
+
+@query("SELECT o_orderkey, round(ln(p / (1 - p)), 6) AS logit, round(1 / (1 + exp(-p)), 6) AS inverse_logit, round(ln(p), 6) AS log, round(sqrt(p), 6) AS root, round(1 / p, 6) AS inverse FROM (SELECT o_orderkey, (o_orderkey % 98 + 1) / 100.0::DOUBLE AS p FROM orders)")
+def link_functions(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", ((F.col("o_orderkey") % 98 + 1) / 100).alias("p"))
+    p, link = F.col("p"), fc.LINKS
+    return rounded(o.select("o_orderkey", link["logit"][0](p).alias("logit"), link["logit"][1](p).alias("inverse_logit"), link["log"][0](p).alias("log"), link["sqrt"][0](p).alias("root"), link["inverse"][0](p).alias("inverse")))
+
+
+@query("SELECT s_suppkey, round(CASE WHEN z >= 0 THEN 1 - u ELSE u END, 6) AS cdf FROM (SELECT s_suppkey, z, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS u FROM (SELECT s_suppkey, s_acctbal / 4000 AS z, 1 / (1 + 0.2316419 * abs(s_acctbal / 4000)) AS t FROM supplier))")
+def normal_distribution(spark, d):
+    s = load(spark, d, "supplier")
+    return s.select("s_suppkey", F.round(fc.normal_cumulative(F.col("s_acctbal") / 4000), 6).alias("cdf"))
+
+
+@query("SELECT round(avg(greatest(0, 1 - y * s)), 6) AS hinge, round(avg(abs(s - y)), 6) AS mae FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END AS y, (l_quantity - 25) / 25 AS s FROM lineitem)")
+def losses(spark, d):
+    li = load(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(-1.0).alias("y"), ((F.col("l_quantity") - 25) / 25).alias("s"))
+    both = metrics.loss(li, "y", "s", "hinge").select(F.round("loss", 6).alias("hinge"))
+    return both.crossJoin(metrics.loss(li, "y", "s", "l1").select(F.round("loss", 6).alias("mae")))
+
+
+@query(f"SELECT {KEYS}, round(2 * (25 - l_quantity) / (SELECT count(*) FROM lineitem), 9) AS gradient FROM lineitem")
+def loss_gradient(spark, d):
+    li = load(spark, d, "lineitem").withColumn("p", F.lit(25.0))
+    return rounded(metrics.loss_gradient(li, "l_quantity", "p").select(*KEY, "gradient"), 9, KEY)
+
+
+@query("WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, avg(l_tax) AS t FROM lineitem) SELECT round(a + (b - a) * i / 49, 6) AS l_quantity, round(t, 6) AS l_tax FROM e, generate_series(0, 49) g(i)")
+def effect_grid(spark, d):
+    return rounded(interpret.effect_grid(load(spark, d, "lineitem"), "l_quantity", ["l_tax"]))
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 5) AS l_quantity, round(avg(l_tax), 6) AS l_tax, count(*) AS n FROM lineitem GROUP BY 1")
+def ordination_centroids(spark, d):
+    c = interpret.centroids(load(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_tax")
+    return c.select("l_returnflag", F.round("l_quantity", 5).alias("l_quantity"), F.round("l_tax", 6).alias("l_tax"), "n")
+
+
+@query()
+def ordination_hulls(spark, d):
+    return interpret.hulls(load(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
+
+
+@query("WITH e AS (SELECT CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y, a.vec_id AS query, b.vec_id AS neighbor FROM embeddings a, embeddings b) SELECT query, neighbor FROM e WHERE list_distance(x, y) <= 0.5")
+def radius_neighbors(spark, d):
+    e = load(spark, d, "embeddings")
+    return neighbors.neighbors(e, e, ["embedding"], "vec_id", "vec_id", radius=0.5).select("query", "neighbor")
+
+
+@query()
+def dbscan_predict(spark, d):
+    s = spots(spark, d)
+    return cluster.dbscan_predict(s, s, cluster.dbscan(s, ["x", "y"], "s_suppkey", 1.25, 4), ["x", "y"], "s_suppkey", 1.25)
+
+
+@query("WITH m AS (SELECT sum((l_quantity - b) * (l_quantity - b)) AS r0, count(*) AS n, regr_r2(l_quantity, l_tax) AS r FROM lineitem, (SELECT avg(l_quantity) AS b FROM lineitem)) SELECT round(-n * ln(1 - r), 5) AS statistic, CAST(1 AS BIGINT) AS df FROM m")
+def likelihood_ratio(spark, d):
+    li = load(spark, d, "lineitem")
+    r = glm.likelihood_ratio(glm.lm(li, "l_quantity ~ 1"), glm.lm(li, "l_quantity ~ l_tax"))
+    return one_row(spark, {"statistic": round(r["statistic"], 5), "df": r["df"]})
+
+
+@query("WITH m AS (SELECT count(*) AS n, var_pop(l_quantity) AS v, regr_r2(l_quantity, l_tax) AS r FROM lineitem) SELECT 'mean' AS model, round(n * (ln(2 * pi() * v) + 1) + 4, 3) AS aic FROM m UNION ALL SELECT 'tax', round(n * (ln(2 * pi() * v * (1 - r)) + 1) + 6, 3) FROM m")
+def model_comparison(spark, d):
+    li = load(spark, d, "lineitem")
+    got = glm.compare({"mean": glm.lm(li, "l_quantity ~ 1"), "tax": glm.lm(li, "l_quantity ~ l_tax")})
+    return spark.createDataFrame([(r["model"], round(r["aic"], 3)) for r in got], "model string, aic double")
+
+
+@query("SELECT o_orderkey, round(b0 + b1 * o_custkey, 3) AS prediction FROM orders, (SELECT regr_intercept(o_totalprice, o_custkey) AS b0, regr_slope(o_totalprice, o_custkey) AS b1 FROM orders)")
+def glm_predict(spark, d):
+    o = load(spark, d, "orders")
+    return glm.lm(o, "o_totalprice ~ o_custkey").predict(o).select("o_orderkey", F.round("prediction", 3).alias("prediction"))
+
+
+@query("SELECT p_partkey, round(b0 + b1 * p_size + b2 * p_size * p_size, 3) AS prediction FROM part, (SELECT my - b1 * mx - b2 * mz AS b0, b1, b2 FROM (SELECT my, mx, mz, (szz * sxy - sxz * szy) / (sxx * szz - sxz * sxz) AS b1, (sxx * szy - sxz * sxy) / (sxx * szz - sxz * sxz) AS b2 FROM (SELECT avg(p_retailprice) AS my, avg(p_size) AS mx, avg(p_size * p_size) AS mz, var_pop(p_size) AS sxx, var_pop(p_size * p_size) AS szz, covar_pop(p_size, p_size * p_size) AS sxz, covar_pop(p_size, p_retailprice) AS sxy, covar_pop(p_size * p_size, p_retailprice) AS szy FROM part)))")
+def polynomial_regression(spark, d):
+    p = load(spark, d, "part")
+    return glm.polynomial(p, "p_retailprice", "p_size").predict(p).select("p_partkey", F.round("prediction", 3).alias("prediction"))
+
+
+@query()
+def one_vs_rest(spark, d):
+    o = load(spark, d, "customer").withColumn("x", F.col("c_acctbal") / 10000)
+    return glm.predict_ovr(glm.one_vs_rest(o, "c_mktsegment", "x", max_iter=5), o).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def gam_classifier(spark, d):
+    p = load(spark, d, "part").withColumn("c", (F.col("p_retailprice") > 1000).cast("int"))
+    return smooth.gam_classifier(p, "c", ["p_size"], n_splines=3, max_iter=5).predict(p).select("p_partkey", "prediction")
+
+
+@query()
+def rda_permutation_test(spark, d):
+    r = ordination.rda_permutations(load(spark, d, "supplier"), ["s_acctbal"], ["s_nationkey"], "s_suppkey", 5)
+    return one_row(spark, {"statistic": float(r["statistic"]), "p_value": float(r["p_value"])})
+
+
+@query()
+def tree_shap(spark, d):
+    o = load(spark, d, "part")
+    t = trees.grow(o, ["p_size"], "p_retailprice", "regression", max_depth=3)
+    return interpret.tree_shap(o.select("p_partkey", "p_size"), t)
+
+
+@query()
+def kernel_shap(spark, d):
+    import numpy as np
+
+    s = load(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return interpret.kernel_shap(s, ["s_nationkey", "s_acctbal"], lambda x: 3 * x[:, 0] - x[:, 1] / 100, np.array([[12.0, 5000.0], [3.0, 100.0]]))
+
+
+@query()
+def permutation_importance(spark, d):
+    li = load(spark, d, "customer")
+    m = glm.lm(li, "c_acctbal ~ c_nationkey")
+    got = interpret.permutation_importance(li, ["c_nationkey"], "c_custkey", lambda df: -m.predict(df).agg(F.avg(F.abs(F.col("c_acctbal") - F.col("prediction")))).first()[0], 2)
+    return spark.createDataFrame([(r["feature"], r["importance"], r["std"]) for r in got], "feature string, importance double, std double")
+
+
+@query()
+def grid_search(spark, d):
+    from .plans.pipeline import grid, search
+
+    p = load(spark, d, "part")
+    score = lambda m, df: -m.predict(df).agg(F.avg((F.col("p_retailprice") - F.col("prediction")) ** 2)).first()[0]
+    s = search(p, ["p_partkey"], grid({"degree": [1, 2]}), lambda df, degree: glm.polynomial(df, "p_retailprice", "p_size", degree), score, 3)
+    return spark.createDataFrame([(r["params"]["degree"], r["mean"], r["std"]) for r in s.results], "degree int, mean double, std double")
+
+
+@query()
+def learning_curve(spark, d):
+    from .plans.pipeline import learning_curve as curve
+
+    p = load(spark, d, "part")
+    score = lambda m, df: -m.predict(df).agg(F.avg(F.abs(F.col("p_retailprice") - F.col("prediction")))).first()[0]
+    got = curve(p, ["p_partkey"], lambda df: glm.lm(df, "p_retailprice ~ p_size"), score, (0.5, 1.0), 3)
+    return spark.createDataFrame([(r["size"], r["train"], r["test"]) for r in got], "size double, train double, test double")
+
+
+@query()
+def saved_model(spark, d):
+    from .sources import models
+
+    o = load(spark, d, "orders")
+    m = models.load(models.save(glm.lm(o, "o_totalprice ~ o_custkey")))
+    return m.summary(o)

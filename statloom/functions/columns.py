@@ -236,6 +236,11 @@ def power(a: Column, k: float) -> Column:
     return closure(F.transform(doubles(a), lambda x: F.pow(x, F.lit(float(k)))))
 
 
+def largest(options: list[Column]) -> Column:
+    """greatest() that takes a single column too."""
+    return F.greatest(*options) if len(options) > 1 else options[0]
+
+
 EPSILON = 1e-10
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import LINKS
+from ..functions.columns import LINKS, largest
 from ..functions.special import chisq_cdf, normal_cdf, normal_quantile
 from ..plans import formula as fm
 from ..plans.gram import gram, gram_by
@@ -263,7 +263,7 @@ def one_vs_rest(df: DataFrame, y: str, terms: str, **options) -> dict[object, GL
 def predict_ovr(models: dict[object, GLM], df: DataFrame, output: str = "prediction") -> DataFrame:
     for i, m in enumerate(models.values()):
         df = m.predict(df, f"__p{i}")
-    best = F.greatest(*[F.struct(F.col(f"__p{i}").alias("p"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(models)])
+    best = largest([F.struct(F.col(f"__p{i}").alias("p"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(models)])
     return df.withColumn(output, best["c"]).drop(*[f"__p{i}" for i in range(len(models))])
 
 
@@ -285,7 +285,7 @@ class Multinomial:
         total = reduce(lambda a, b: a + b, [F.exp(F.col(f"__e{k}") - top) for k in range(len(eta))])
         probs = {f"__p{k}": F.exp(F.col(f"__e{k}") - top) / total for k in range(len(eta))}
         out = out.withColumns(probs)
-        best = F.greatest(*[F.struct(F.col(f"__p{k}").alias("p"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(self.classes)])
+        best = largest([F.struct(F.col(f"__p{k}").alias("p"), F.lit(-k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(self.classes)])
         out = out.withColumn(output, best["c"])
         if prefix:
             out = out.withColumns({f"{prefix}{c}": F.col(f"__p{k}") for k, c in enumerate(self.classes)})

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import LINKS
+from ..functions.columns import LINKS, largest
 from ..functions.special import normal_cdf, normal_quantile
 from ..plans.gram import Gram, gram
 from ..sources.models import saveable
@@ -193,7 +193,7 @@ class GAMClassifier:
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """Softmax of the classes' logits against the first class."""
         eta = [F.lit(0.0), *[m._eta() for m in self.models]]
-        best = F.greatest(*[F.struct(e.alias("e"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (e, c) in enumerate(zip(eta, self.classes))])
+        best = largest([F.struct(e.alias("e"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (e, c) in enumerate(zip(eta, self.classes))])
         return df.withColumn(output, best["c"])
 
 

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import largest
 from ..sources.models import saveable
 from ..sources.tables import normalize
 
@@ -115,7 +116,7 @@ def _voted(values: str, classes: list) -> Column:
     """The most frequent label of an array column; of equals the first class."""
     if len(classes) == 1:
         return F.lit(classes[0])
-    return F.greatest(*[F.struct(_equal(values, c).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(classes)])["c"]
+    return largest([F.struct(_equal(values, c).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(classes)])["c"]
 
 
 def _share(each: Column, i: int) -> Column:
@@ -301,7 +302,7 @@ class Boosting:
             p = 1 / (1 + F.exp(-s[0]))
             out = df.withColumn(output, F.when(p >= 0.5, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])))
             return out.withColumn("probability", p) if probabilities else out
-        best = F.greatest(*[F.struct(v.alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (v, c) in enumerate(zip(s, self.classes))])
+        best = largest([F.struct(v.alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (v, c) in enumerate(zip(s, self.classes))])
         return df.withColumn(output, best["c"])
 
 
