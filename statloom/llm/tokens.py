@@ -31,7 +31,7 @@ PIECE = re.compile(f" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 BARE = re.compile(f"{WORD}|[^{SPACE}]+")
 
 #: Entries of the table (about 200 bytes each) before it is emptied, and characters of the longest piece it keeps.
-MAX_PIECES = 700_000
+MAX_PIECES = 500_000
 LONGEST_KEPT = 64
 
 
