@@ -13,7 +13,7 @@ from ..functions.special import binomial_log, chisq_cdf, f_cdf, normal_cdf, norm
 from ..plans.ordering import average_ranks, indexed, running
 
 
-def tail(cdf: float, alternative: str, symmetric: float | None = None) -> float:
+def tail(cdf: float, alternative: str) -> float:
     """p-value of a statistic with distribution value ``cdf``."""
     if alternative == "less":
         return cdf

@@ -22,10 +22,6 @@ MAX_TRAIN = 200_000
 BLOCK = 1 << 22
 
 
-def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-
-
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
 

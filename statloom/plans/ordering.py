@@ -18,9 +18,8 @@ def running(df: DataFrame, order: list[Column | str], sums: dict[str, Column]) -
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    asc = [c for c in order]
-    rows = df.withColumns({f"__v_{k}": c for k, c in sums.items()} | {"__keep": F.lit(0)})
-    ranged = settled(rows.repartitionByRange(n, *asc).withColumn("__part", F.spark_partition_id()))
+    rows = df.withColumns({f"__v_{k}": c for k, c in sums.items()})
+    ranged = settled(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("__part").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
