@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.common import work_dir, written
+from statloom.llm.jaccard import drop_near_copies
 from statloom.llm.mixing import mix
 from statloom.llm.packing import pack
 from statloom.llm.quality import keep_good
 from statloom.llm.queries import tokenizer_file
-from statloom.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    """The document with the smallest doc_id of each group of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

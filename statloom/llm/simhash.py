@@ -264,7 +264,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, capacity: int = CAPAC
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, out: str | None = None) -> DataFrame:
     """One row of each component: that with the smallest doc_id (null last), then text hash; all columns kept."""
-    found = near_duplicates(docs, radius, out=out)
+    return keep_first(docs, near_duplicates(docs, radius, out=out))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each label of ``found`` (doc_id, text_hash, label of every row): the smallest doc_id (null last), then text hash."""
     keep = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash").distinct()
     a, b, h = free_names(docs, "kept_id", "kept_hash", "text_hash")
     keep = keep.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
