@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from statloom.llm.common import work_dir, written
 from statloom.llm.jaccard import drop_near_copies
-from statloom.llm.mixing import mix
+from statloom.llm.mixing import chars, mix, sources, targets
 from statloom.llm.packing import pack
 from statloom.llm.quality import keep_good
 from statloom.llm.queries import tokenizer_file
@@ -32,8 +32,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens; one row per piece of a document."""
-    return pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096)
+    """Sequences of 4096 tokens, shared among the sources by mixing's target weights; one row per piece of a document.
+
+    Mixing keeps every row, so its targets follow from the rows it has written. They hold until a source runs
+    dry; its share then goes to the others.
+    """
+    weights = targets(sources(docs, chars()))
+    return pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096, weights=weights)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

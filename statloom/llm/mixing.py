@@ -98,6 +98,16 @@ def sources(docs: DataFrame, size: Column) -> dict[str, tuple[int, int]]:
     return {r["s"]: (r["n"], r["size"]) for r in got}
 
 
+def chars(text: str = "text") -> Column:
+    """A document's characters; a null or empty text counts as one."""
+    return F.greatest(F.coalesce(F.char_length(text), F.lit(0)), F.lit(1)).cast("long")
+
+
+def targets(have: dict[str, tuple[int, int]], temperature: float = 0.5) -> dict[str, float]:
+    """Target weights by source: characters to the power ``temperature``."""
+    return {s: float(n) ** temperature for s, (_, n) in have.items()}
+
+
 def table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """A plan's rows as a DataFrame made by the JVM from a literal."""
     kinds = "array<struct<s:string,a:bigint,z:bigint,part:bigint,period:bigint,start:bigint,i:bigint,slot:bigint,r:bigint,d:bigint>>"
@@ -114,10 +124,10 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, temperatu
     counts as one character; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    size = F.greatest(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(1)).cast("long")
+    size = chars()
     have = sources(docs, size)
     if weights is None:
-        weights = {s: float(n) ** temperature for s, (_, n) in have.items()}
+        weights = targets(have, temperature)
     if any(weights.get(s, 0) <= 0 for s in have):
         raise ValueError("every source needs a weight above 0")
     blocks = {s: -(-n // block_chars) for s, (_, n) in have.items()}
