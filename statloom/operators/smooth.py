@@ -381,7 +381,11 @@ class MLP:
 
 
 def mlp(df: DataFrame, columns: list[str], targets: list[str], hidden: tuple[int, ...] = (16,), activation: str = "relu", epochs: int = 50, rate: float = 0.01, batch: int = 32, local_rows: int = 100_000, seed: int = 42) -> MLP:
-    """Mini-batch Adam on tables of up to ``local_rows`` rows; beyond, full-gradient Adam steps, each a Spark aggregate of partial sums."""
+    """Mini-batch Adam: every epoch takes all rows in a new random order, ``batch`` at a time, whatever the size of the table.
+
+    Up to ``local_rows`` rows are held by the driver; of larger tables Spark shuffles the rows for each epoch
+    and the driver reads them a block at a time. Steps follow one another, so time grows with rows times epochs.
+    """
     rows = normalize(df).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(targets)]).dropna()
     rng, sizes = np.random.default_rng(seed), [len(columns), *hidden, len(targets)]
     layers = [[rng.uniform(-1, 1, (a, b)) * math.sqrt(6 / (a + b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:])]
@@ -398,47 +402,46 @@ def mlp(df: DataFrame, columns: list[str], targets: list[str], hidden: tuple[int
                 m[j][0], m[j][1] = 0.9 * m[j][0] + 0.1 * d, 0.999 * m[j][1] + 0.001 * d * d
                 layer[j] = layer[j] - rate * (m[j][0] / (1 - 0.9**step)) / (np.sqrt(m[j][1] / (1 - 0.999**step)) + 1e-8)
 
-    k = len(columns)
-    if (n := rows.limit(local_rows + 1).count()) <= local_rows:
+    k, total, seen = len(columns), 0.0, 0
+
+    def learn(part: np.ndarray) -> None:
+        nonlocal total, seen
+        grads, loss = model.gradient(part[:, :k], part[:, k:])
+        total, seen = total + loss, seen + len(part)
+        update(grads, len(part))
+
+    def blocks(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"block": [b.to_numpy(float).tobytes()]})
+
+    local = (n := rows.limit(local_rows + 1).count()) <= local_rows
+    if local:
         data = rows.toPandas().to_numpy(float)
-        for _ in range(epochs):
+    else:
+        names, width = rows.columns, len(rows.columns)
+        rows = rows.withColumn("__id", F.monotonically_increasing_id()).cache()
+    for epoch in range(epochs):
+        total, seen = 0.0, 0
+        if local:
             rng.shuffle(data)
-            total = 0.0
             for at in range(0, n, batch):
-                part = data[at : at + batch]
-                grads, loss = model.gradient(part[:, :k], part[:, k:])
-                total += loss
-                update(grads, len(part))
-            model.loss_history.append(total / max(n, 1))
-        return model
-    rows = rows.cache()
-    for _ in range(epochs):
-        told = df.sparkSession.sparkContext.broadcast(model)
-
-        def partial(batches, told=told):
-            import pandas as pd
-
-            total = None
-            for b in batches:
-                v = b.to_numpy(float)
-                grads, loss = told.value.gradient(v[:, :k], v[:, k:])
-                flat = np.concatenate([*(p.ravel() for g in grads for p in g), [loss, len(v)]])
-                total = flat if total is None else total + flat
-            if total is not None:
-                yield pd.DataFrame({"at": np.arange(len(total)), "v": total})
-
-        sums = rows.mapInPandas(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
-        grads, at = [], 0
-        for layer in model.layers:
-            made = []
-            for p in layer:
-                made.append(sums[at : at + p.size].reshape(p.shape))
-                at += p.size
-            grads.append(made)
-        update(grads, int(sums[-1]))
-        model.loss_history.append(float(sums[-2] / sums[-1]))
-        told.unpersist()
-    rows.unpersist()
+                learn(data[at : at + batch])
+        else:
+            left = np.zeros((0, width))
+            shuffled = rows.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "__id")).select(*names).mapInPandas(blocks, "block binary")
+            for r in shuffled.toLocalIterator(prefetchPartitions=True):
+                left = np.concatenate((left, np.frombuffer(r["block"]).reshape(-1, width)))
+                whole = len(left) // batch * batch
+                for at in range(0, whole, batch):
+                    learn(left[at : at + batch])
+                left = left[whole:]
+            if len(left):
+                learn(left)
+        model.loss_history.append(total / max(seen, 1))
+    if not local:
+        rows.unpersist()
     return model
 
 

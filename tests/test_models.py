@@ -221,6 +221,15 @@ def test_smooth_models(spark):
     assert np.allclose((smooth.Kernel("rbf") + smooth.Kernel("constant"))(x[:2, None], x[:2, None]), smooth.Kernel("rbf")(x[:2, None], x[:2, None]) + 1)
 
 
+def test_network_trains_alike_beyond_local_rows(spark):
+    x = np.random.default_rng(3).uniform(-1, 1, 1500)
+    df = spark.createDataFrame([(float(v), float(2 * v - 0.5)) for v in x], "x double, y double").repartition(3)
+    fit = [smooth.mlp(df, ["x"], ["y"], (8,), "tanh", epochs=3, local_rows=n) for n in (100_000, 100)]
+    a, b = (m.loss_history[-1] for m in fit)
+    assert b < fit[1].loss_history[0] / 5 and b < 2 * a and a < 2 * b
+    assert smooth.mlp(df, ["x"], ["y"], (8,), epochs=1, local_rows=100, batch=1499).loss_history
+
+
 def test_optimisers():
     f = lambda p: (p[0] - 1) ** 2 + 3 * (p[1] + 2) ** 2
     for method in ("gd", "momentum", "rmsprop", "adam"):
