@@ -89,6 +89,40 @@ def test_vantage_search_prunes(spark):
     assert (s.run() == brute_components(pts)).all() and s.pairs_seen < len(pts) ** 2 / 2
 
 
+def near_pairs(r, n, bits):
+    """n random points of so many bits, and as many again up to 4 bits from them."""
+    x = r.integers(0, 1 << bits, n, np.uint64)
+    flips = [sum(1 << int(b) for b in r.choice(bits, r.integers(0, 5), replace=False)) for _ in range(n)]
+    return x, x ^ np.array(flips, np.uint64)
+
+
+@pytest.mark.parametrize("bits", [63, 51])  # 51: all points share 13 bits
+def test_every_near_pair_meets_in_a_shard(bits):
+    x, y = near_pairs(np.random.default_rng(4), 20_000, bits)
+    pts = np.unique(np.concatenate((x, y)))
+    trees = simhash.trees_for(pts[:: len(pts) // 4000], len(pts), 0, 4, 8192)
+    at, sizes, met = np.stack((np.searchsorted(pts, x), np.searchsorted(pts, y))), [], np.zeros(len(x), bool)
+    for t in trees:
+        for _, leaf in t.route(pts, 1):
+            inside = np.zeros(len(pts), bool)
+            inside[leaf] = True
+            sizes.append(len(leaf))
+            met |= inside[at].all(0)
+    assert met.all() and len(trees) == 3 and max(sizes) < 4000 and sum(sizes) < 16 * len(pts)
+
+
+@pytest.mark.parametrize("capacity", [64, 600])
+def test_shards_are_divided_again_on_the_executors(spark, capacity, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 200)
+    monkeypatch.setattr(simhash, "ROUTED", 300)
+    x, y = near_pairs(np.random.default_rng(6), 1500, 63)
+    pts = np.unique(np.concatenate((x, y)))
+    out = work_dir(spark, "t")
+    shards = simhash.shards_of(spark.createDataFrame([(int(p),) for p in pts], "fp long"), 4, out, capacity)
+    label = {r["fp"]: r["label"] for r in simhash.components(simhash.star_links(shards, 4), out).collect()}
+    assert [label.get(p, p) for p in pts.tolist()] == pts[brute_components(pts)].tolist()
+
+
 def test_drop_near_duplicates_keeps_one(docs, clashing, rows, nothing):
     kept = simhash.drop_near_duplicates(docs).collect()
     full = simhash.near_duplicates(docs).select("label").distinct().count()
