@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,13 +17,11 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; in local mode a temporary one if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; if unset, a folder of the warehouse, which they share too."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="statloom-")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -74,10 +72,14 @@ class AtomicFile:
     def close(self) -> None:
         self.out.close()
         self.fs.move(self.temp, self.path)
-
-    def drop(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.temp)
+        self.temp = ""
+
+    def __del__(self):
+        """A file that was not closed, as its task failed, leaves nothing behind."""
+        if getattr(self, "temp", ""):
+            with contextlib.suppress(OSError, ValueError):
+                self.out.close()
+                self.fs.delete_file(self.temp)
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:

@@ -4,7 +4,8 @@ Every page is a record of its own gzip member. Of equal payloads the one with th
 response, others are revisits that refer to it and carry no payload. The index sorts captures by reversed
 host and path (``com,example)/path``) into compressed blocks inside range-partitioned shards; each shard
 ends in a sparse directory, one key per block, and the manifest has one row per shard. A lookup bisects the
-manifest, then a shard's directory, reads one block, and reads the record by its range.
+manifest, then a shard's directory, reads one block, and reads the record by its range. ``archived`` looks
+all pages up that way, keys sorted by shard; ``CaptureIndex`` looks up a single URL.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
@@ -30,8 +31,10 @@ LEAST = 100
 SALTS = 16
 ARCHIVE_BYTES = 1 << 30
 INDEX_BLOCK = 64 << 10
-#: Ranges this close are read at once.
-READ_BYTES = 4 << 20
+#: Captures of an index shard, about; a small index has a shard for each core, of SHARD_LEAST captures at least.
+SHARD_CAPTURES, SHARD_LEAST = 500_000, 1000
+#: Ranges this close are read at once; archive bytes that a task reads back, about.
+READ_BYTES, TASK_BYTES = 4 << 20, 128 << 20
 DATE = "1970-01-01T00:00:00Z"  # pages have no capture time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "surt string, page_id long, part int, path string, offset long, length long"
@@ -140,8 +143,10 @@ def index_key(key: str, page_id: int | None) -> bytes:
     return key.encode("utf-8", "surrogatepass") + b"\0" + struct.pack(">Q", (page_id if page_id is not None else -(1 << 63)) + (1 << 63))
 
 
-def write_index(captures: DataFrame, out: str) -> DataFrame:
-    """Write the index shards below ``out``; returns the manifest: part, path, n, first_key, last_key."""
+def write_index(captures: DataFrame, out: str, n: int | None = None) -> DataFrame:
+    """Write the index shards of ``n`` captures (counted if not given) below ``out``; returns the manifest: part, path, n, first_key, last_key."""
+    n = captures.count() if n is None else n
+    shards = max(1, -(-n // SHARD_CAPTURES), min(captures.sparkSession.sparkContext.defaultParallelism, n // SHARD_LEAST))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard = TaskContext.get().partitionId(), None
@@ -154,7 +159,7 @@ def write_index(captures: DataFrame, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([n], pa.int64()), pa.array([first], pa.binary()), pa.array([last], pa.binary())], names=["part", "path", "n", "first_key", "last_key"])
 
     order = ["surt", "page_id", "path", "offset"]
-    ordered = captures.repartitionByRange(*order).sortWithinPartitions(*order).select("surt", "page_id", "part", "path", "offset", "length")
+    ordered = captures.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("surt", "page_id", "part", "path", "offset", "length")
     return written(ordered.mapInArrow(run, "part int, path string, n long, first_key binary, last_key binary"), f"{out}/manifest")
 
 
@@ -190,16 +195,57 @@ class CaptureIndex:
         return out
 
 
-def read_records(manifest: DataFrame) -> DataFrame:
-    """RECORD of every capture in the index: blocks give the ranges, each archive's ranges are read in order by one task."""
+def lookup_keys(pages: DataFrame) -> DataFrame:
+    """key (surt and page_id as the index has them), each once, of the rows of ``pages``; html is not read."""
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
-                shard = Shard(path)
-                for i in range(len(shard.ranges)):
-                    rows = [(*struct.unpack_from("<IQQ", v), v[20:].decode()) for _, v in shard.block(i)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["part", "offset", "length", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array([index_key(surt(u), p) for p, u in zip(*(c.to_pylist() for c in b.columns))], pa.binary())], names=["key"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(run, "key binary").distinct()
+
+
+def looked_up(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """path, offset, length of every capture of ``keys``: the manifest is bisected for shards, a shard's directory for blocks.
+
+    The manifest (a row per shard) is held by every task; a shard's keys come sorted to one task, which reads
+    each block that they fall into once. A key whose captures fill several shards is looked up in each.
+    """
+    shards = sorted((bytes(r["first_key"]), bytes(r["last_key"]), r["path"]) for r in manifest.collect())
+    firsts, lasts = [f for f, _, _ in shards], [z for _, z, _ in shards]
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [(i, k) for k in b.column(0).to_pylist() for i in range(bisect_left(lasts, k), bisect_right(firsts, k))]
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in at], pa.int32()), pa.array([k for _, k in at], pa.binary())], names=["shard", "key"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, shard, at, block = None, None, -1, []
+        for b in batches:
+            rows = []
+            for i, key in zip(*(c.to_pylist() for c in b.columns)):
+                if i != opened:
+                    opened, shard, at = i, Shard(shards[i][2]), -1
+                n = bisect_left(shard.last_keys, key)
+                while n < len(shard.ranges):
+                    if n != at:
+                        at, block = n, list(shard.block(n))
+                    lo = bisect_left(block, key, key=lambda e: e[0])
+                    hi = bisect_right(block, key, lo, key=lambda e: e[0])
+                    rows += [(v[20:].decode(), *struct.unpack_from("<QQ", v, 4)) for _, v in block[lo:hi]]
+                    if hi < len(block):
+                        break
+                    n += 1  # equal keys may go on in the next block
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["path", "offset", "length"])
+
+    asked = keys.mapInArrow(homes, "shard int, key binary").repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key")
+    return asked.mapInArrow(find, "path string, offset long, length long")
+
+
+def read_records(found: DataFrame, total: int) -> DataFrame:
+    """RECORD of every capture (path, offset, length): tasks follow the archives' ``total`` bytes, each reads spans of archives in order."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_path, file, held, held_at = None, None, b"", 0
@@ -216,14 +262,20 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
 
-    n = max(1, manifest.count())
-    found = manifest.select("path").repartition(n).mapInArrow(ranges, "part int, offset long, length long, path string")
-    ordered = found.repartition("path").sortWithinPartitions("path", "offset")
-    return ordered.select("path", "offset", "length").mapInArrow(records, RECORD)
+    n = max(found.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    spans = found.repartition(n, "path", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("path", "offset")
+    return spans.mapInArrow(records, RECORD)
 
 
 def archived(pages: DataFrame, out: str | None = None) -> DataFrame:
-    """Write the archives and the index of ``pages`` and return every record read back through the index."""
+    """Write the archives and the index of ``pages`` and return every page's record, looked up by its key and read back.
+
+    A row per row of ``pages``: null page_ids, repeated rows and rows without url are captures like others;
+    null html is an empty payload; an empty table gives no rows; columns besides page_id, url and html are
+    not read.
+    """
     spark: SparkSession = pages.sparkSession
     out = out or work_dir(spark, "warc")
-    return read_records(write_index(write_archives(pages, out), out))
+    captures = write_archives(pages, out)
+    n, total = captures.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return read_records(looked_up(write_index(captures, out, n), lookup_keys(pages)), total)
