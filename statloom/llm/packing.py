@@ -2,9 +2,11 @@
 
 Every round gives each source's deficit counter its quantum, a share of one window's tokens by the
 target weights, and the source sends as many whole tokens as the counter holds; what is left is carried
-into the next round. The rounds' tokens end to end, cut every ``window`` tokens, are the sequences: no
-window deviates from the targets by more than a token a source and round, and only the very last one is
-not full. A source that runs dry leaves the round and the others share its quantum.
+into the next round. A source with a small share (below 1 / RUNS of a window) saves up for a whole run of
+window / RUNS tokens, so that a document is never cut into single tokens. The rounds' tokens end to end,
+cut every ``window`` tokens, are the sequences; only the very last one is not full. A source is
+never further from its target than its counter: a token, or half a run, which such counters start with. A source that runs dry
+leaves the round and the others share its quantum.
 
 Counters start a round as ``carry + r * quantum``, so the round and place of any token follow from its
 rank in its source by arithmetic. The driver plans the few stretches between sources running dry from
@@ -29,7 +31,11 @@ from .common import filesystem, small, texts_of, work_dir, written
 from .tokens import encoded_texts, encoder, wide
 
 #: Deficit counters count in this part of a token.
-UNITS = 1024
+UNITS = 1 << 16
+#: A source with a share below one in so many of a window sends runs of that size, not single tokens.
+RUNS = 64
+#: (round, source) numbers held at once while a document is placed.
+ROUND_CELLS = 1 << 18
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -40,13 +46,31 @@ class Stretch:
     first: int  # global place of its first token
     rounds: int
     quantum: np.ndarray  # in UNITS, 0 for sources that ran dry
-    carry: np.ndarray  # in UNITS, below UNITS
+    carry: np.ndarray  # in UNITS, what a counter holds before the first round
     served: np.ndarray  # tokens that sources sent before
     tokens: np.ndarray  # tokens that sources send here
+    run: np.ndarray  # tokens that a source sends at once, or a multiple
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Tokens by (round, source) that sources have sent here after so many rounds."""
-        return np.minimum((self.carry + rounds[:, None] * self.quantum) // UNITS, self.tokens)
+        whole = np.minimum((self.carry + rounds[:, None] * self.quantum) // (self.run * UNITS) * self.run, self.tokens)
+        return np.where(rounds[:, None] > 0, whole, 0)
+
+    def round_of(self, source: int, tokens: np.ndarray) -> np.ndarray:
+        """The round after which a source has sent so many whole runs' tokens."""
+        c, q = int(self.carry[source]), int(self.quantum[source])
+        return np.clip(-((c - tokens * UNITS) // q), 1, self.rounds)
+
+    def sending(self, source: int, a: int, b: int) -> Iterator[np.ndarray]:
+        """The rounds in which a source sends its tokens a to b here, a bounded number at once."""
+        run, some = int(self.run[source]), max(1, ROUND_CELLS // len(self.run))
+        if run == 1:  # every round sends
+            first, last = self.round_of(source, np.array([a + 1, b])).tolist()
+            for at in range(first, last + 1, some):
+                yield np.arange(at, min(at + some, last + 1))
+        else:  # by runs, as many rounds send nothing
+            for at in range(a // run, (b - 1) // run + 1, some):
+                yield np.unique(self.round_of(source, (np.arange(at, min(at + some, (b - 1) // run + 1)) + 1) * run))
 
 
 def quanta(weights: np.ndarray, window: int) -> np.ndarray:
@@ -63,8 +87,11 @@ def quanta(weights: np.ndarray, window: int) -> np.ndarray:
     return q
 
 
-def plan(counts: list[int], weights: list[float] | None, window: int) -> list[Stretch]:
-    """The stretches that send all tokens. weights None: the sources' own shares, so that all end together."""
+def plan(counts: list[int], weights: list[float] | None, window: int, run: int = 1) -> list[Stretch]:
+    """The stretches that send all tokens. weights None: the sources' own shares, so that all end together.
+
+    A source whose quantum is below ``run`` tokens sends whole runs only, when its counter holds one.
+    """
     left = np.array(counts, np.int64)
     w = np.array(counts if weights is None else weights, float)
     if (w[left > 0] <= 0).any():
@@ -74,11 +101,15 @@ def plan(counts: list[int], weights: list[float] | None, window: int) -> list[St
         live = left > 0
         q = np.zeros(len(left), np.int64)
         q[live] = quanta(w[live], window)
+        runs = np.where(q < run * UNITS, run, 1)
+        carry = carry if out else np.where(runs > 1, run * UNITS // 2, 0)  # half a run ahead, so never more than half a run away
         carry[~live] = 0
-        # Up to and with the first round in which a source runs dry.
-        rounds = int((-((carry[live] - left[live] * UNITS) // q[live])).min())
-        tokens = np.minimum((carry + rounds * q) // UNITS, left)
-        out.append(Stretch(first, rounds, q, carry.copy(), served.copy(), tokens))
+        # Up to and with the first round in which a source runs dry; a last run may be short.
+        dry = -(-left // runs) * runs * UNITS
+        rounds = max(1, int((-((carry[live] - dry[live]) // q[live])).min()))
+        stretch = Stretch(first, rounds, q, carry.copy(), served.copy(), left.copy(), runs)
+        tokens = stretch.tokens = stretch.sent(np.array([rounds]))[0]
+        out.append(stretch)
         carry = np.where(tokens < left, carry + rounds * q - tokens * UNITS, 0)
         first, left, served = first + int(tokens.sum()), left - tokens, served + tokens
     return out
@@ -87,18 +118,17 @@ def plan(counts: list[int], weights: list[float] | None, window: int) -> list[St
 def places(stretches: list[Stretch], source: int, start: int, n: int) -> Iterator[tuple[int, int, int]]:
     """(rank in the source, length, global place) of the runs that tokens start to start + n of a source fall into."""
     for s in stretches:
-        lo, hi = max(start, int(s.served[source])), min(start + n, int(s.served[source] + s.tokens[source]))
-        if lo >= hi:
+        base = int(s.served[source])
+        a, b = max(start - base, 0), min(start + n - base, int(s.tokens[source]))
+        if a >= b:
             continue
-        a, b, c, q = lo - int(s.served[source]), hi - int(s.served[source]), int(s.carry[source]), int(s.quantum[source])
-        first, last = max(1, -((c - (a + 1) * UNITS) // q)), max(1, -((c - b * UNITS) // q))
-        rounds = np.arange(min(first, s.rounds), min(last, s.rounds) + 1)
-        before, after = s.sent(rounds - 1), s.sent(rounds)
-        place = s.first + before.sum(1) + (after - before)[:, :source].sum(1)
-        begin, end = np.maximum(before[:, source], a), np.minimum(after[:, source], b)
-        for x, y, p, z in zip(begin.tolist(), end.tolist(), place.tolist(), before[:, source].tolist()):
-            if y > x:
-                yield x + int(s.served[source]), y - x, p + x - z
+        for rounds in s.sending(source, a, b):
+            before, after = s.sent(rounds - 1), s.sent(rounds)
+            place = s.first + before.sum(1) + (after - before)[:, :source].sum(1)
+            begin, end = np.maximum(before[:, source], a), np.minimum(after[:, source], b)
+            for x, y, p, z in zip(begin.tolist(), end.tolist(), place.tolist(), before[:, source].tolist()):
+                if y > x:
+                    yield x + base, y - x, p + x - z
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> DataFrame:
@@ -116,11 +146,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> DataFrame
     return written(rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary"), f"{out}/encoded")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weights: dict[str, float] | None = None, out: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weights: dict[str, float] | None = None, out: str | None = None, with_ids: bool = False, temperature: float = 1.0) -> DataFrame:
     """Pack all documents into sequences of ``window`` tokens; one row per piece of a document.
 
-    weights: target shares by source (default: the shares of the sources' tokens, which hold to the last
-    window); null sources are one source "". A null text is the end id alone; null and repeated doc_ids
+    weights: target shares by source; default: each source's tokens to the power ``temperature`` (1: their
+    own shares, which hold to the last window). Null sources are one source "". A null text is the end id alone; null and repeated doc_ids
     are documents like any other; an empty table gives no rows. Only doc_id, text and source are read.
     with_ids adds the piece's ids as little-endian 32-bit numbers, to build the sequences from (group by
     sequence_id, order by offset). The driver holds a count and a few numbers per source.
@@ -133,7 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weigh
     totals = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
     number = {s: i for i, s in enumerate(names)}
-    stretches = plan([totals[s] for s in names], None if weights is None else [weights.get(s, 0) for s in names], window)
+    aims = [float(totals[s]) ** temperature if weights is None else weights.get(s, 0) for s in names]
+    stretches = plan([totals[s] for s in names], aims, window, max(1, window // RUNS))
     before = Window.partitionBy("source").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     files = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("source", "base"))).alias("bases"))
     files = written(files, f"{out}/files")

@@ -22,7 +22,7 @@ def tokenizer_file(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096)
+    return pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096, temperature=0.5)
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

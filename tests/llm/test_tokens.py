@@ -130,6 +130,49 @@ def test_places_are_those_of_deficit_round_robin(counts, own, window):
     assert got == want
 
 
+def round_robin_in_runs(counts, weights, window, run):
+    """As round_robin; a source whose quantum is below ``run`` tokens sends whole runs and starts with half a run."""
+    from statloom.llm.packing import UNITS, quanta
+
+    left, out = list(counts), []
+    deficit = [run * UNITS // 2 if q < run * UNITS else 0 for q in quanta(np.array([float(w) for w in weights]), window).tolist()]
+    while sum(left):
+        live = [i for i, n in enumerate(left) if n]
+        for s, q in zip(live, quanta(np.array([float(weights[i]) for i in live]), window).tolist()):
+            unit = run if q < run * UNITS else 1
+            deficit[s] += q
+            n = min(deficit[s] // (unit * UNITS) * unit, left[s])
+            out += [s] * n
+            left[s] -= n
+            deficit[s] = deficit[s] - n * UNITS if left[s] else 0
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 400), min_size=1, max_size=6), st.sampled_from([8, 32, 128]), st.sampled_from([2, 5, 16]), st.integers(1, 30))
+def test_runs_are_those_of_deficit_round_robin(counts, window, run, tilt):
+    weights = [1.0 + i * tilt for i in range(len(counts))]
+    stretches, got = plan(counts, weights, window, run), [None] * sum(counts)
+    for s, n in enumerate(counts):
+        for at in range(0, n, 7):
+            for rank, length, place in places(stretches, s, at, min(7, n - at)):
+                assert at <= rank and rank + length <= n
+                for k in range(length):
+                    assert got[place + k] is None
+                    got[place + k] = s
+    assert got == round_robin_in_runs(counts, weights, window, run)
+
+
+def test_a_rare_source_sends_runs():
+    counts = [2_000_000_000, 500_000_000, 5000]
+    stretches = plan(counts, None, 4096, 64)
+    pieces = list(places(stretches, 2, 0, 5000))
+    assert sum(n for _, n, _ in pieces) == 5000 and len(pieces) <= 5000 // 64 + 2
+    assert len(list(places(stretches, 0, 10**9, 5000))) < 8
+    at = sorted(p for _, _, p in pieces)
+    assert all(b - a > 20_000_000 for a, b in zip(at[:-3], at[1:]))  # spread over the windows, but for what rounding leaves to the end
+
+
 def test_packing(spark, docs, clashing, rows, nothing):
     got = pack(docs, WORD, 2, 256, with_ids=True).collect()
     want = Counter((d, len(x), x.tobytes()) for d, x in encoded(WORD, 2, rows))
