@@ -358,6 +358,32 @@ def test_schedule_deviates_by_less_than_a_block():
         assert done == Counter(parts)
 
 
+def test_integer_weights_hold_at_any_length():
+    weights = {"a": 7919, "b": 2000, "c": 3, "d": 5}
+    parts = mixing.parts_of(weights)
+    assert parts == weights and sum(parts.values()) == 9927
+    turn, done = mixing.one_period(parts), Counter()
+    for slot in range(3 * len(turn)):  # periods are alike, so three stand for any number
+        done[turn[slot % len(turn)]] += 1
+        assert all(abs(done[s] - w * (slot + 1) / 9927) < 1 for s, w in weights.items())
+
+
+def test_mixed_rows_follow_the_schedule(spark, docs, clashing, rows, nothing):
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "", r["source"] or "")
+    slot = {}
+    for r in mixing.schedule(docs, block_chars=64, prefix="").collect():
+        slot.setdefault(key(r), set()).add(r["slot"])
+    parts = mixing.mix(docs, block_chars=64).rdd.glom().collect()
+    got = [r for part in parts for r in part]
+    assert Counter(map(key, got)) == Counter((d is not None, d or 0, t or "", s or "") for d, t, _, s, _ in rows)
+    for part in parts:
+        at = 0
+        for r in part:
+            at = min((x for x in slot[key(r)] if x >= at), default=None)
+            assert at is not None
+    assert mixing.mix(nothing).count() == 0
+
+
 def test_stretches_take_every_block_once():
     blocks = {"a": 1703, "b": 50, "c": 0, "d": 7}
     rows = mixing.stretches(blocks, {"a": 1.0, "b": 2.0, "c": 1.0, "d": 3.0})
