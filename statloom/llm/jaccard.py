@@ -1,14 +1,17 @@
-"""Near duplicates by the Jaccard likeness of word shingle sets: an exact set-similarity join by prefixes.
-
-A document is the set of its five-word shingles. Put every set into one global order; two sets of likeness
-``least`` or more then share a shingle among the first ``n - ceil(least * n) + 1`` of each. So only those
-prefixes are grouped by shingle, and every pair that can reach the likeness meets in a group. Any order is
-right; shingles that a sample finds common come last, by count, so that a passage in many documents
-seldom makes a group. Equal sets collapse first. Candidates lose those whose sizes or parity masks
-rule the likeness out, and the rest are verified on the whole sets, made again from their texts.
-
-As only components matter, a group first compares its members with its hub (the smallest point), then
-those pairs of members that are not one component already.
+"""SimHash near duplicates at a Jaccard likeness of word shingle sets: what SimHash finds, verified and completed.
+
+A document is the set of its five-word shingles; equal sets collapse first. Their SimHash fingerprints go
+through the vantage-point search of ``simhash``; the pairs it links are verified on the sets. Sets of
+likeness 0.8 have fingerprints up to about 14 bits apart, a radius at which no search of 64 bits prunes
+(figures in the README). So the pairs beyond its radius come from prefixes: put every set into one global
+order; two sets of likeness ``least`` or more then share a shingle among the first
+``n - ceil(least * n) + 1`` of each. Only those prefixes are grouped by shingle, and every pair that can
+reach the likeness meets in a group. Any order is right; shingles that a sample finds common come last,
+by count, so that a passage in many documents seldom makes a group. Candidates lose those whose sizes or
+parity masks rule the likeness out, and the rest are verified on the whole sets, made again from their texts.
+
+As only components matter, a group first compares its members with its hub (the smallest point) unless
+SimHash has linked them, then those pairs of members that are not one component already.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, texts_of, work_dir, written
-from .simhash import components, keep_first
+from .simhash import CAPACITY, RADIUS, components, keep_first, shards_of, star_links
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: One document in SAMPLE is looked at for common shingles; those seen OFTEN times, and at most COMMON of them.
@@ -54,6 +57,14 @@ def point_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
+def simhash_of(s: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes as a signed number, 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 15):
+        counts += np.unpackbits(s[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(s), bitorder="little").view("<i8")[0])
+
+
 def mask_of(s: np.ndarray) -> bytes:
     """The parity of a set's shingles in each of a power of two of cells, about two a shingle."""
     cells = max(512, 1 << (2 * len(s)).bit_length())
@@ -91,7 +102,7 @@ def prefix(s: np.ndarray, least: Fraction, hashes: np.ndarray, ranks: np.ndarray
 
 
 def shingled(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """doc_id, text_hash, point, n (the set's size), its mask and its prefix of every row."""
+    """doc_id, text_hash, point, n (the set's size), its fingerprint, mask and prefix of every row."""
     common = common_shingles(docs, words)
     order = np.argsort(common)
     hashes, ranks = common[order], order
@@ -100,10 +111,10 @@ def shingled(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
         for b in small(batches):
             sets = [shingle_set(t, words) for t in texts_of(b.column(2))]
             firsts = [prefix(s, least, hashes, ranks).tobytes() if len(s) else b"" for s in sets]
-            columns = [b.column(0), b.column(1), pa.array([point_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([mask_of(s) for s in sets], pa.binary()), pa.array(firsts, pa.binary())], names=["doc_id", "text_hash", "point", "n", "mask", "prefix"])
+            columns = [b.column(0), b.column(1), *(pa.array([f(s) for s in sets], pa.int64()) for f in (point_of, len, simhash_of))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([mask_of(s) for s in sets], pa.binary()), pa.array(firsts, pa.binary())], names=["doc_id", "text_hash", "point", "n", "fp", "mask", "prefix"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, text_hash long, point long, n long, mask binary, prefix binary")
+    return texts(docs).mapInArrow(run, "doc_id long, text_hash long, point long, n long, fp long, mask binary, prefix binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -179,15 +190,26 @@ def other_pairs(shared: DataFrame, labels: DataFrame, least: Fraction) -> DataFr
 
 
 def sets_of(points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """point, shingles (its whole set, sorted) of ``points`` (point, rep: the hash of a text that has the set)."""
+    """point, shingles (its whole set, sorted) of ``points`` (point, rep: text_hash and doc_id of a row that has the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
             sets = [shingle_set(t, words) for t in texts_of(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([point_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["point", "shingles"])
 
-    rows = texts(docs).join(points.select(F.col("rep").alias("text_hash")), "text_hash", "left_semi")
-    return rows.dropDuplicates(["text_hash"]).select("text").mapInArrow(run, "point long, shingles binary").dropDuplicates(["point"])
+    asked = points.select(F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("d"))
+    rows = texts(docs)
+    rows = rows.join(asked, (rows["text_hash"] == asked["h"]) & rows["doc_id"].eqNullSafe(asked["d"]), "left_semi")
+    return rows.select("text").mapInArrow(run, "point long, shingles binary").dropDuplicates(["point"])
+
+
+def simhash_pairs(reps: DataFrame, out: str) -> DataFrame:
+    """a, b: each point that the vantage-point search links, with a point of its star's centre (or of its own fingerprint)."""
+    fps = written(reps.filter("n > 0").groupBy("fp").agg(F.min("point").alias("a")), f"{out}/fingerprints")
+    stars = star_links(shards_of(fps.select("fp"), RADIUS, out, CAPACITY), RADIUS)
+    homes = stars.groupBy("fp").agg(F.min("root").alias("root")).join(fps.select(F.col("fp").alias("root"), "a"), "root").select("fp", "a")
+    homes = homes.unionByName(fps).distinct()
+    return reps.filter("n > 0").select("fp", F.col("point").alias("b")).join(homes, "fp").filter("a <> b").select("a", "b")
 
 
 def possible(pairs: DataFrame, reps: DataFrame, least: Fraction) -> DataFrame:
@@ -241,12 +263,17 @@ def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST, out
     """
     out, share = out or work_dir(docs.sparkSession, "jaccard"), Fraction(str(least))
     sets = written(shingled(docs, words, share), f"{out}/sets")
-    reps = written(sets.groupBy("point").agg(F.min("text_hash").alias("rep"), *[F.first(c).alias(c) for c in ("n", "mask")]), f"{out}/points")
+    reps = written(sets.groupBy("point").agg(F.min(F.struct("text_hash", "doc_id")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "mask")]), f"{out}/points")
+    links = verified(simhash_pairs(reps, f"{out}/simhash"), docs, reps, words, share, f"{out}/near")
+    known = components(links, f"{out}/first").select("fp", "label")
     shared = written(shared_prefixes(sets), f"{out}/shared")
     fits = F.least("n", "hub_n") * share.denominator >= F.greatest("n", "hub_n") * share.numerator
     hubs = shared.filter("point <> hub").filter(fits).select(F.col("hub").alias("a"), F.col("point").alias("b")).distinct()
-    links = verified(hubs, docs, reps, words, share, f"{out}/hubs")
-    others = other_pairs(shared, components(links, f"{out}/first"), share)
+    for k in ("a", "b"):
+        hubs = hubs.join(known.select(F.col("fp").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
+    hubs = hubs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    links = links.unionByName(verified(hubs, docs, reps, words, share, f"{out}/hubs"))
+    others = other_pairs(shared, components(links, f"{out}/second"), share)
     links = links.unionByName(verified(others, docs, reps, words, share, f"{out}/others"))
     label = components(links, f"{out}/all").withColumnRenamed("fp", "point")
     return sets.select("doc_id", "text_hash", "point").join(label, "point", "left").select("doc_id", "text_hash", "point", F.coalesce("label", "point").alias("label"))

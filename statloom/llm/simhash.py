@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import free_names, mix64, small, texts_of, work_dir, written
 
@@ -441,10 +442,15 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, out: str | None
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of each label of ``found`` (doc_id, text_hash, label of every row): the smallest doc_id (null last), then text hash."""
-    keep = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash").distinct()
-    a, b, h = free_names(docs, "kept_id", "kept_hash", "text_hash")
-    keep = keep.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b))
-    hashed = docs.withColumn(h, F.xxhash64("text"))
-    kept = hashed.join(keep, hashed["doc_id"].cast("long").eqNullSafe(keep[a]) & hashed[h].eqNullSafe(keep[b]), "left_semi")
-    return kept.dropDuplicates(["doc_id", h]).select(*docs.columns)
+    """One row of each label of ``found`` (doc_id, text_hash, label of every row): the smallest doc_id (null last), then text hash.
+
+    What stays is decided on those three columns; texts move once, to meet the decision and to keep one of
+    rows that repeat a doc_id and a text. Those rows are interchangeable but for other columns.
+    """
+    d, h, nth = free_names(docs, "kept_id", "kept_hash", "kept_row")
+    keep = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    keep = keep.select(F.struct("k.none", F.coalesce("k.doc_id", F.lit(0)).alias("doc_id")).alias(d), F.col("k.text_hash").alias(h)).distinct()
+    long = F.col("doc_id").cast("long")
+    keyed = docs.withColumns({d: F.struct(long.isNull().alias("none"), F.coalesce(long, F.lit(0)).alias("doc_id")), h: F.xxhash64("text")})
+    kept = keyed.join(keep, [d, h], "left_semi")
+    return kept.withColumn(nth, F.row_number().over(Window.partitionBy(d, h).orderBy(F.lit(0)))).filter(F.col(nth) == 1).select(*docs.columns)
