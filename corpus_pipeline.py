@@ -17,17 +17,31 @@ from statloom.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier, trained on ``labels`` outside the held-out fold, finds good."""
+    """Documents that the line classifier, trained on ``labels`` outside the held-out fold, finds good.
+
+    Every row is scored by its whole text alone, so repeated rows and equal texts stay or go together. Null
+    and empty texts are one empty line; a null doc_id, lang or source is kept as it is. Without labels all
+    rows score 0.5 and stay; an empty table stays empty. All columns, extra ones included, pass through.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    """One document of each group of near duplicates: SimHash and vantage points first, then every pair of Jaccard 0.8 or more.
+
+    Sets of five-word shingles; groups are chains of such pairs. The smallest doc_id stays (null last), of
+    equal doc_ids the smaller text hash; of rows that repeat both, one. Texts without words (null ones too)
+    are one group. Texts of any length are compared whole; an empty table stays empty; all columns pass through.
+    """
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, ordered so that sources interleave by their target weights."""
+    """All documents, ordered so that sources interleave by their target weights (characters to the power 0.5).
+
+    No row is dropped or repeated. Null sources are one source; a null or empty text counts as one character;
+    rows that repeat are interchangeable; an empty table stays empty; all columns pass through.
+    """
     return mix(docs)
 
 
@@ -35,7 +49,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens, shared among the sources by mixing's target weights; one row per piece of a document.
 
     Mixing keeps every row, so its targets follow from the rows it has written. They hold until a source runs
-    dry; its share then goes to the others.
+    dry; its share then goes to the others. Null texts are the end id alone; null and repeated doc_ids are
+    documents like others; a long text is cut freely; an empty table gives no rows. Extra columns are not read.
     """
     weights = targets(sources(docs, chars()))
     return pack(docs, tokenizer_file("word_bpe_49k.json"), end_id=2, window=4096, weights=weights)
