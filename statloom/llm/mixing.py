@@ -225,7 +225,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     turns = Turns(spark, have, known(have, weights, temperature), block_chars)
     z, p, begin, block, m = free_names(docs, "mix_size", "mix_part", "mix_begin", "mix_block", "mix_marker")
     rows, (s, o, h, b, e), order = keyed(docs, have, size, z)
-    parts = max(spark.sparkContext.defaultParallelism, -(-sum(n for _, n in have.values()) // PART_CHARS))
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-sum(n for _, n in have.values()) // PART_CHARS))
 
     def homed(df: DataFrame) -> DataFrame:
         share = F.conv(b, 16, 10).cast("double") / F.pow(F.lit(16.0), F.length(b))
