@@ -10,8 +10,9 @@ reach the likeness meets in a group. Any order is right; shingles that a sample
 by count, so that a passage in many documents seldom makes a group. Candidates lose those whose sizes or
 parity masks rule the likeness out, and the rest are verified on the whole sets, made again from their texts.
 
-As only components matter, a group first compares its members with its hub (the smallest point) unless
-SimHash has linked them, then those pairs of members that are not one component already.
+As only components matter, SimHash's pairs come first, with each point's smallest hub (the smallest point of
+a group); then the members of a group and its hub, and at last any two members, are compared unless they
+are one component already.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, texts_of, work_dir, written
-from .simhash import CAPACITY, RADIUS, components, keep_first, shards_of, star_links
+from .simhash import CAPACITY, RADIUS, components, keep_first, runs_of, shards_of, star_links
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: One document in SAMPLE is looked at for common shingles; those seen OFTEN times, and at most COMMON of them.
 SAMPLE, OFTEN, COMMON = 16, 8, 20_000
-#: Pairs of a group compared at once.
-BLOCK_PAIRS = 1 << 20
+#: Members of a group up to which all its pairs are candidates, and of a tile of a larger group.
+SMALL, TILE = 64, 1024
+#: Words of masks compared at once.
+BLOCK_PAIRS = 1 << 22
 
 
 def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -135,7 +138,7 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """shingle, point, n, hub, hub_n of the members of every group of two points or more."""
+    """shingle, members (of the group), point, n, hub, hub_n of the members of every group of two points or more."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -152,41 +155,69 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
             sizes = np.diff(np.append(starts, len(shingle)))
             hub, more = np.repeat(starts, sizes), np.repeat(sizes, sizes) > 1
             if more.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (shingle, point, n, point[hub], n[hub])], names=["shingle", "point", "n", "hub", "hub_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (shingle, np.repeat(sizes, sizes), point, n, point[hub], n[hub])], names=["shingle", "members", "point", "n", "hub", "hub_n"])
 
     rows = sets.filter("n > 0").select("point", "n", "prefix").mapInArrow(cut, "shingle long, point long, n long")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "point").mapInArrow(meet, "shingle long, point long, n long, hub long, hub_n long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "point").mapInArrow(meet, "shingle long, members long, point long, n long, hub long, hub_n long")
 
 
-def other_pairs(shared: DataFrame, labels: DataFrame, least: Fraction) -> DataFrame:
-    """a, b: the pairs of a group without its hub that are not one component and whose sizes allow the likeness."""
+def near_masks(n: np.ndarray, masks: list[bytes], least: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of sets whose sizes and masks allow the likeness, in blocks; each pair once, in either order.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Such sizes differ by a quarter at most, so masks of one length meet those of the same and of twice the length.
+    """
+    width = np.array([len(m) // 8 for m in masks])
+    for w in np.unique(width):
+        own, more = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        x = np.frombuffer(b"".join(masks[i] for i in own), np.uint64).reshape(-1, w)
+        y = np.frombuffer(b"".join(masks[i] for i in more), np.uint64).reshape(-1, 2, w)
+        both, y = np.concatenate((own, more)), np.concatenate((x, y[:, 0] ^ y[:, 1]))
+        step = max(1, BLOCK_PAIRS // (len(both) * w))
+        for at in range(0, len(own), step):
+            d = np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+            total = n[own[at : at + step], None] + n[None, both]
+            once = np.arange(at, min(len(own), at + step))[:, None] < np.arange(len(both))[None, :]
+            i, j = np.nonzero(once & ((total - d) * least.denominator >= (total + d) * least.numerator))
+            yield own[i + at], both[j]
+
+
+def other_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, least: Fraction) -> DataFrame:
+    """a, b: the pairs of a group without its hub that are not one component and may have the likeness.
+
+    Groups of up to SMALL members give their pairs. Larger ones are cut into tiles of about TILE members; two
+    tiles meet in a task, where the masks decide which pairs leave it, so no group's pairs are written out.
+    """
+
+    def small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shingle, point, n, label in by_group(batches):
             starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
             made: list[np.ndarray] = []
-            held = 0
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(shingle)]):
                 p, m, k = point[lo:hi], n[lo:hi], label[lo:hi]
-                if len(p) < 2 or (k == k[0]).all():
-                    continue
-                step = max(1, BLOCK_PAIRS // len(p))
-                for at in range(0, len(p), step):
-                    x = np.arange(at, min(len(p), at + step))[:, None]
-                    y = np.arange(len(p))[None, :]
-                    ok = (x < y) & (k[x] != k[y]) & (np.minimum(m[x], m[y]) * least.denominator >= np.maximum(m[x], m[y]) * least.numerator)
-                    i, j = np.nonzero(ok)
-                    made.append(np.stack((p[i + at], p[j])))
-                    held += len(i)
-                    if held >= BLOCK_PAIRS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(made, axis=1)], names=["a", "b"])
-                        made, held = [], 0
-            if held:
+                i, j = np.triu_indices(len(p), 1)
+                ok = (k[i] != k[j]) & (np.minimum(m[i], m[j]) * least.denominator >= np.maximum(m[i], m[j]) * least.numerator)
+                made.append(np.stack((p[i[ok]], p[j[ok]])))
+            if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(made, axis=1)], names=["a", "b"])
 
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, 3):
+            (_, i, j, tile, point, n, label), masks = group[:7], group[7].tolist()
+            for x, y in near_masks(n, masks, least):
+                ok = (label[x] != label[y]) & ((i[0] == j[0]) | (tile[x] != tile[y]))
+                if ok.any():
+                    x, y = point[x[ok]], point[y[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
     rows = shared.filter("point <> hub").join(labels.select(F.col("fp").alias("point"), "label"), "point", "left")
-    rows = rows.select("shingle", "point", "n", F.coalesce("label", "point").alias("label"))
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "point").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select("shingle", "members", "point", "n", F.coalesce("label", "point").alias("label"))
+    few = rows.filter(F.col("members") <= SMALL).select("shingle", "point", "n", "label").repartition("shingle").sortWithinPartitions("shingle", "point")
+    many = rows.filter(F.col("members") > SMALL).join(reps.select("point", "mask"), "point")
+    count = F.ceil(F.col("members") / TILE).cast("int")
+    many = many.withColumn("tile", F.pmod(F.xxhash64("point"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    many = many.select("shingle", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "point", "n", "label", "mask")
+    many = many.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    return few.mapInArrow(small_groups, "a long, b long").unionByName(many.mapInArrow(tiles, "a long, b long")).distinct()
 
 
 def sets_of(points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -264,16 +295,19 @@ def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST, out
     out, share = out or work_dir(docs.sparkSession, "jaccard"), Fraction(str(least))
     sets = written(shingled(docs, words, share), f"{out}/sets")
     reps = written(sets.groupBy("point").agg(F.min(F.struct("text_hash", "doc_id")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "mask")]), f"{out}/points")
-    links = verified(simhash_pairs(reps, f"{out}/simhash"), docs, reps, words, share, f"{out}/near")
-    known = components(links, f"{out}/first").select("fp", "label")
     shared = written(shared_prefixes(sets), f"{out}/shared")
     fits = F.least("n", "hub_n") * share.denominator >= F.greatest("n", "hub_n") * share.numerator
-    hubs = shared.filter("point <> hub").filter(fits).select(F.col("hub").alias("a"), F.col("point").alias("b")).distinct()
+    hubs = shared.filter("point <> hub").filter(fits).select(F.col("hub").alias("a"), F.col("point").alias("b"))
+    # At most two pairs a point join most of a group of copies; later pairs inside one component are left out.
+    early = simhash_pairs(reps, f"{out}/simhash").unionByName(hubs.groupBy("b").agg(F.min("a").alias("a"))).distinct()
+    links = verified(early, docs, reps, words, share, f"{out}/near")
+    known = components(links, f"{out}/first").select("fp", "label")
+    hubs = hubs.distinct()
     for k in ("a", "b"):
         hubs = hubs.join(known.select(F.col("fp").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
     hubs = hubs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     links = links.unionByName(verified(hubs, docs, reps, words, share, f"{out}/hubs"))
-    others = other_pairs(shared, components(links, f"{out}/second"), share)
+    others = other_pairs(shared, components(links, f"{out}/second"), reps, share)
     links = links.unionByName(verified(others, docs, reps, words, share, f"{out}/others"))
     label = components(links, f"{out}/all").withColumnRenamed("fp", "point")
     return sets.select("doc_id", "text_hash", "point").join(label, "point", "left").select("doc_id", "text_hash", "point", F.coalesce("label", "point").alias("label"))

@@ -57,6 +57,25 @@ def test_stage_finds_every_pair_of_jaccard_08(spark, monkeypatch):
     assert simhash.drop_near_duplicates(docs).count() > len(kept)  # four bits of four-word fingerprints miss most of them
 
 
+def test_large_groups_go_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    texts = corpus(5)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    assert sorted(r["doc_id"] for r in jaccard.drop_near_copies(docs).collect()) == sorted(set(brute(texts).tolist()))
+
+
+def test_masks_never_lose_a_likely_pair():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 63, 700, np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(700) < q], r.integers(0, 1 << 63, k, np.uint64)))) for q, k in [(0.3, 5), (0.33, 9), (0.4, 2), (0.95, 20), (0.97, 9), (1, 3), (1, 60), (0.9, 1)] * 6]
+    n = np.array([len(s) for s in sets])
+    found = [(int(a), int(b)) for x, y in jaccard.near_masks(n, [jaccard.mask_of(s) for s in sets], jaccard.Fraction("0.8")) for a, b in zip(x, y)]
+    assert len(found) == len({frozenset(p) for p in found})
+    likely = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if 5 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (n[i] + n[j] - both)}
+    assert likely <= {frozenset(p) for p in found} and len(found) < len(sets) * (len(sets) - 1) / 2
+
+
 def test_prefixes_of_likely_sets_meet():
     r = np.random.default_rng(1)
     common = r.integers(0, 1 << 63, 50, np.uint64)
