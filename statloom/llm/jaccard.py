@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, texts_of, work_dir, written
-from .simhash import CAPACITY, RADIUS, components, keep_first, runs_of, shards_of, star_links
+from .simhash import CAPACITY, RADIUS, components, keep_first, majority, runs_of, shards_of, shingle_hashes, star_links
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: One document in SAMPLE is looked at for common shingles; those seen OFTEN times, and at most COMMON of them.
@@ -40,15 +40,7 @@ BLOCK_PAIRS = 1 << 22
 
 def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of a text's word shingles, each once; a shorter text is one shingle, one without words none."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and ASCII white space
-    if not w:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(w)
-    ends = np.cumsum([len(x) + 1 for x in w])
-    starts = np.concatenate(([0], ends[:-1]))[: max(1, len(w) - words + 1)]
-    last = ends[min(words, len(w)) - 1 :] - 1
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), last.tolist())], np.uint64))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -62,10 +54,7 @@ def point_of(s: np.ndarray) -> int:
 
 def simhash_of(s: np.ndarray) -> int:
     """The SimHash fingerprint of a set of hashes as a signed number, 0 for none."""
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(s), 1 << 15):
-        counts += np.unpackbits(s[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(s), bitorder="little").view("<i8")[0])
+    return int(np.uint64(majority(s[at : at + (1 << 15)] for at in range(0, len(s), 1 << 15))).view(np.int64))
 
 
 def mask_of(s: np.ndarray) -> bytes:

@@ -10,6 +10,7 @@ recursions, by document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from .common import Rolled, bounded_batches, free_names, mix64, slices
 
 #: Labelled documents that a model is fitted on at most; chosen by a hash of doc_id, so spread over the table.
 SAMPLE_DOCS = 4000
+#: And bytes of their texts at most.
+SAMPLE_BYTES = 32 << 20
 #: A document with this score or more is good.
 THRESHOLD = 0.3
 
@@ -40,58 +43,108 @@ _CLASS[0xC0:] = 8
 _CLASS[0x80:0xC0] = 9
 
 
+#: Bytes at which a line is cut: the parts of a longer one count as lines. Text bytes featurised at once.
+LONGEST_LINE, CHUNK_BYTES = 1 << 20, 2 << 20
+#: Chains of more lines are scored in blocks side by side.
+LONG_CHAIN = 4096
+
+
 @dataclass
 class Lines:
-    x: np.ndarray  # features by line, the neighbours' included
+    own: np.ndarray  # features of a line itself, without those of its repetition in the document
+    key: np.ndarray  # a hash of the line
     size: np.ndarray  # bytes by line
     count: np.ndarray  # lines by document, 1 at least
 
+    @property
+    def x(self) -> np.ndarray:
+        """All features by line: its own and those of the lines before and behind it in the document."""
+        own, (edge_before, edge_behind) = self.repeated(), edges(self.count)
+        before, behind = np.roll(own, 1, 0), np.roll(own, -1, 0)
+        before[edge_before], behind[edge_behind] = 0, 0
+        return np.column_stack((np.ones(len(own)), own, before, behind, edge_before, edge_behind))
+
+    def repeated(self) -> np.ndarray:
+        """``own`` with a last column: 1 for a line that its document has had before."""
+        doc = np.repeat(np.arange(len(self.count)), self.count)
+        with np.errstate(over="ignore"):
+            key = mix64(self.key + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        first = np.zeros(len(key), bool)
+        first[np.unique(key, return_index=True)[1]] = True
+        return np.column_stack((self.own, ~first & (self.size > 0)))
+
+
+def edges(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are the first and the last of their document."""
+    before, behind, last = np.zeros(count.sum(), bool), np.zeros(count.sum(), bool), np.cumsum(count)
+    before[np.concatenate(([0], last[:-1]))] = True
+    behind[last - 1] = True
+    return before, behind
+
+
+def line_ends(buf: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of lines: at line feeds, at LONGEST_LINE bytes, and at the texts' ``last`` bytes, line feeds all."""
+    ends = np.flatnonzero(buf == 10)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    while (long := np.flatnonzero(ends - starts > LONGEST_LINE)).size:
+        cuts = starts[long] + LONGEST_LINE
+        starts, ends = np.sort(np.concatenate((starts, cuts))), np.sort(np.concatenate((ends, cuts)))
+    return starts, ends
+
 
 def line_features(texts: list[bytes]) -> Lines:
-    """Features of all lines of ``texts``; an empty text is one empty line."""
+    """Features of all lines of ``texts``; an empty text is one empty line. Temporaries: about 90 bytes a byte, for texts of CHUNK_BYTES or less."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    ends = np.flatnonzero(buf == 10)
-    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = np.cumsum([len(t) + 1 for t in texts]) - 1
+    starts, ends = line_ends(buf, last)
     size, n = ends - starts, len(ends)
-    count = np.array([t.count(b"\n") + 1 for t in texts])
-    doc = np.repeat(np.arange(len(texts)), count)
-    line = np.repeat(np.arange(n), size + 1)
+    count = np.diff(np.concatenate(([0], np.searchsorted(ends, last, side="right"))))
+    line = np.repeat(np.arange(n), np.diff(starts, append=len(buf)))
     cls = _CLASS[buf]
     shares = np.bincount(line * CLASSES + cls, minlength=n * CLASSES).reshape(n, CLASSES).astype(float)
-    shares[:, 10] -= 1  # the line feed itself
+    shares[:, 10] -= buf[ends] == 10  # the line feed itself
     blanks = shares[:, 3].copy()
     shares /= np.maximum(size, 1)[:, None]
-    # A line that its document has had before, by a rolling hash.
     part = Rolled(buf)
-    with np.errstate(over="ignore"):
-        key = mix64(part(starts, ends) + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    first = np.zeros(n, bool)
-    first[np.unique(key, return_index=True)[1]] = True
-    again = (~first & (size > 0)).astype(float)
+    key = mix64(part(starts, ends))
     # Neighbouring bytes: a change of case inside a word, a mark beside a letter, the same byte thrice.
     inner = np.zeros((n, 3))
     a, b = cls[:-1], cls[1:]
-    same = buf[1:] == buf[:-1]
+    same = (buf[1:] == buf[:-1]) & (buf[1:] != 10)
     thrice = np.zeros(len(same), bool)
     thrice[:-1] = same[:-1] & same[1:]
     for k, hit in enumerate(((a == 0) & (b == 1), (a <= 1) & (b >= 5) & (b <= 7), thrice)):
         inner[:, k] = np.bincount(line[:-1][hit], minlength=n)
     inner /= np.maximum(size, 1)[:, None]
-    # Words that repeat the word before them.
+    # Words that repeat the word before them in the line.
     gaps = np.flatnonzero((cls == 3) | (buf == 10))
     begin = np.concatenate(([0], gaps[:-1] + 1))
     word = part(begin, gaps)
-    told = np.flatnonzero((word[1:] == word[:-1]) & (gaps[1:] > begin[1:])) + 1
+    told = np.flatnonzero((word[1:] == word[:-1]) & (gaps[1:] > begin[1:]) & (buf[gaps[:-1]] != 10)) + 1
     words = blanks + 1
     echo = np.bincount(line[gaps[told]], minlength=n) / words
-    own = np.column_stack((shares, np.sqrt(shares[:, [1, 2, 5, 6, 7]]), inner, np.sqrt(inner), again, echo, np.sqrt(echo), np.log1p(size) / 5, np.log1p(size / words), size == 0))
-    edge_before, edge_behind = np.zeros(n, bool), np.zeros(n, bool)
-    last = np.cumsum(count)
-    edge_before[np.concatenate(([0], last[:-1]))] = True
-    edge_behind[last - 1] = True
-    before, behind = np.roll(own, 1, 0), np.roll(own, -1, 0)
-    before[edge_before], behind[edge_behind] = 0, 0
-    return Lines(np.column_stack((np.ones(n), own, before, behind, edge_before, edge_behind)), size, count)
+    own = np.column_stack((shares, np.sqrt(shares[:, [1, 2, 5, 6, 7]]), inner, np.sqrt(inner), echo, np.sqrt(echo), np.log1p(size) / 5, np.log1p(size / words), size == 0))
+    return Lines(own, key, size, count)
+
+
+def chunks(text: bytes, most: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """A text in parts of about ``most`` bytes that end where lines do; the line feed between two parts is left out."""
+    at = 0
+    while len(text) - at > most:
+        cut = text.rfind(b"\n", at, at + most)
+        if cut < 0:
+            cut = text.find(b"\n", at + most)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """``chunks``, and a line without end in parts of LONGEST_LINE bytes, as line_ends cuts it."""
+    for c in chunks(text):
+        yield from (c[i : i + LONGEST_LINE] for i in range(0, max(len(c), 1), LONGEST_LINE)) if len(c) > 2 * CHUNK_BYTES and b"\n" not in c else (c,)
 
 
 def chain_layout(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,6 +189,43 @@ def forward_backward(u: np.ndarray, trans: np.ndarray, count: np.ndarray) -> tup
     return p[:, 1] / np.maximum(p.sum(1), 1e-300), pairs, log_z
 
 
+def swept(e: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Messages from the left at every place of one long chain, before its own factor e, up to a scale.
+
+    Blocks of the chain advance side by side from both labels at their edge; as messages are linear in the
+    edge's, the edges' own then follow from block to block. Steps: the root of the chain, twice.
+    """
+    n = len(e)
+    b = max(1, math.isqrt(n))
+    rows = -(-n // b)
+    e = np.concatenate((e, np.ones((rows * b - n, 2)))).reshape(rows, b, 2)
+    m = np.broadcast_to(np.eye(2), (rows, 2, 2)).copy()  # by block: label at the edge, label here
+    scale, made, logs = np.zeros((rows, 2)), np.empty((rows, b, 2, 2)), np.empty((rows, b, 2))
+    for t in range(b):
+        made[:, t], logs[:, t] = m, scale
+        m = (m * e[:, t, None, :]) @ k
+        z = np.maximum(m.sum(2), 1e-300)
+        m, scale = m / z[:, :, None], scale + np.log(z)
+    edge, out = np.ones(2) / 2, np.empty((rows, b, 2))
+    for r in range(rows):
+        start = np.log(np.maximum(edge, 1e-300))
+        w = start + logs[r]
+        out[r] = np.einsum("ts,tsj->tj", np.exp(w - w.max(1, keepdims=True)), made[r])
+        w = start + scale[r]
+        edge = np.exp(w - w.max()) @ m[r]
+        edge = edge / edge.sum()
+    return out.reshape(-1, 2)[:n]
+
+
+def long_marginals(u: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Marginals of "good" along one long chain, as forward_backward gives them."""
+    top = np.maximum(u, 0)
+    e = np.exp(np.column_stack((-top, u - top)))
+    k = np.exp(trans - trans.max())
+    p = swept(e, k) * e * swept(e[::-1], k.T)[::-1]
+    return p[:, 1] / np.maximum(p.sum(1), 1e-300)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -143,18 +233,47 @@ class Model:
     weights: np.ndarray
     trans: np.ndarray
 
-    def marginals(self, lines: Lines) -> np.ndarray:
-        return forward_backward((lines.x - self.mean) / self.scale @ self.weights, self.trans, lines.count)[0]
+    def odds(self, own: list[np.ndarray], before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """Log-odds of good by line from the lines' own features, in parts; the standardised features times the weights."""
+        w = self.weights / self.scale
+        d = (len(w) - 3) // 3
+        a, b, c = (np.concatenate([o @ w[1 + i * d : 1 + (i + 1) * d] for o in own]) for i in range(3))
+        u = a + w[0] - self.mean @ w + np.where(before, w[-2], np.roll(b, 1)) + np.where(behind, w[-1], np.roll(c, -1))
+        return u
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Documents' mean probability of good lines, weighted by length (an empty line counts as one byte)."""
         if not texts:
             return np.zeros(0)
         lines = line_features(texts)
-        p, w = self.marginals(lines), lines.size + 1.0
+        u = self.odds([lines.repeated()], *edges(lines.count))
+        p, w = forward_backward(u, self.trans, lines.count)[0], lines.size + 1.0
         at = np.cumsum(lines.count) - lines.count
         return np.clip(np.add.reduceat(p * w, at) / np.add.reduceat(w, at), 0, 1)
 
+    def score_long(self, text: bytes) -> float:
+        """``score`` of one text of any length: features by chunks of lines, of which log-odds, sizes and hashes stay."""
+        sizes, keys, odds = [], [], []
+        w = self.weights / self.scale
+        d = (len(w) - 3) // 3
+        parts = w[1 : 1 + 3 * d].reshape(3, d)
+        for chunk in pieces(text):
+            lines = line_features([chunk])
+            sizes.append(lines.size)
+            keys.append(lines.key)
+            odds.append(lines.own @ parts[:, :-1].T)
+        size, key, abc = np.concatenate(sizes), np.concatenate(keys), np.concatenate(odds)
+        first = np.zeros(len(key), bool)
+        first[np.unique(key, return_index=True)[1]] = True
+        abc += (~first & (size > 0))[:, None] * parts[:, -1]
+        u = abc[:, 0] + w[0] - self.mean @ w
+        u[1:] += abc[:-1, 1]
+        u[:-1] += abc[1:, 2]
+        u[0] += w[-2]
+        u[-1] += w[-1]
+        p = long_marginals(u, self.trans) if len(u) > LONG_CHAIN else forward_backward(u, self.trans, np.array([len(u)]))[0]
+        return float(np.clip((p * (size + 1.0)).sum() / (size + 1.0).sum(), 0, 1))
+
 
 def fit(texts: list[bytes], good: np.ndarray, steps: int = 120, ridge: float = 2e-3, rate: float = 0.15) -> Model:
     """Maximise the lines' mean conditional log-likelihood less a ridge penalty, by Adam on full gradients."""
@@ -191,16 +310,30 @@ def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most ``sample`` labelled documents outside the held-out fold; nothing else is read from ``docs``.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample`` labelled documents and ``most`` bytes outside the held-out fold, spread by a hash of doc_id.
 
-    Labels that are null or of unknown documents, and held-out ones, are left out. Without any label every
-    document scores 0.5.
+    Labels that are null or of unknown documents, and held-out ones, are left out, as are texts of more than
+    CHUNK_BYTES; of rows that repeat a doc_id one is taken. Without any label every document scores 0.5.
+    Sizes are chosen from ids and lengths; only the chosen texts reach the driver.
     """
+    spark = docs.sparkSession
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
-    got = sorted((r["doc_id"], r["text"].encode("utf-8", "surrogatepass"), r["quality"]) for r in rows.collect())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sized = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).filter(F.col("n") <= CHUNK_BYTES)
+    one = sized.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "n")).alias("m")).select("doc_id", "quality", "m.h", "m.n", F.xxhash64("doc_id").alias("at"))
+    kept, size = [], 0
+    for r in sorted(one.collect(), key=lambda r: (r["at"], r["doc_id"])):
+        size += r["n"]
+        if size > most:
+            break
+        kept.append((r["doc_id"], r["h"], r["quality"]))
+    if not kept:
+        return fit([], np.zeros(0))
+    asked = spark.createDataFrame(kept, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, quality int")
+    found = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(asked), ["doc_id", "h"]).dropDuplicates(["doc_id"])
+    got = sorted((r["doc_id"], r["text"].encode("utf-8", "surrogatepass"), r["quality"]) for r in found.collect())
     return fit([t for _, t, _ in got], np.array([q for _, _, q in got]))
 
 
@@ -212,12 +345,20 @@ def score(docs: DataFrame, model: Model, output: str = "score") -> DataFrame:
     names = list(docs.columns)
     (temp,) = free_names(docs, "score_text")
 
+    def scored(texts: list[bytes]) -> np.ndarray:
+        out, model = np.empty(len(texts)), told.value
+        long = [i for i, t in enumerate(texts) if len(t) > CHUNK_BYTES or t.count(b"\n") >= LONG_CHAIN]
+        for i in long:
+            out[i] = model.score_long(texts[i])
+        rest = sorted(set(range(len(texts))) - set(long))
+        for i, j in slices(len(texts[r]) for r in rest):
+            out[rest[i:j]] = model.score([texts[r] for r in rest[i:j]])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
-            s = [told.value.score(texts[i:j]) for i, j in slices(map(len, texts))]
-            columns = [*b.columns[:-1], pa.array(np.concatenate(s) if s else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, output])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scored(texts), pa.float64())], names=[*names, output])
 
     from pyspark.sql import types as T
 
@@ -226,12 +367,17 @@ def score(docs: DataFrame, model: Model, output: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; scores see the text alone."""
+    """doc_id, held_out, score and predicted of every row; scores see the text alone.
+
+    Null and empty texts are one empty line and have its score; a null doc_id is not held out; equal texts
+    have equal scores, repeated rows a row each; texts of any length are scored whole, by chunks; an empty
+    table gives no rows. Only doc_id and text are read of ``docs``.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, sample))
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts good, all columns kept."""
+    """The rows of ``docs`` that the classifier predicts good, all columns kept; nulls, repeats and long texts as in ``classify``."""
     (s,) = free_names(docs, "score")
     return score(docs, train(docs, labels, sample), s).filter(F.col(s) >= threshold).drop(s)

@@ -80,6 +80,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Columns of an operator's result that SQL can express, held against it.
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_order_minhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def token_count_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_token_counts(spark, sf_dir).select("doc_id", "n_chars")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -91,6 +108,10 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_token_shards": op9_token_shards,
     "op10_token_counts": op10_token_counts,
+    "media_payloads": media_payloads,
+    "license_base": license_base,
+    "fingerprint_edits": fingerprint_edits,
+    "token_count_chars": token_count_chars,
 }
 
 #: The schedule slot by slot: a "plan" step deals the parts of 1,000 to the sources that have blocks left, a
@@ -133,6 +154,29 @@ MIXING_SQL = """
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": MIXING_SQL,
+    "media_payloads": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents), p AS (SELECT *, greatest(1, (n + 191) // 192) * 192 AS m FROM d)
+        SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat(' ', m - n)) AS payload_sha256 FROM p
+    """,
+    "license_base": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        p AS (
+            SELECT doc_id, len(w) AS n,
+                list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS a,
+                list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS b,
+                list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS c
+            FROM w
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(a) + len(b) + len(c) AS BIGINT) AS n_base, CAST(list_min(a || b || c) - 1 AS BIGINT) AS first_word, CAST(list_max(a || b || c) - 1 AS BIGINT) AS last_word,
+            concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels
+        FROM p
+    """,
+    "fingerprint_edits": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS following FROM d)
+        SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 4) || left(following, n // 4)) AS edited_sha256 FROM f
+    """,
+    "token_count_chars": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents",
     "op6_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),

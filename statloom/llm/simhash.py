@@ -19,6 +19,7 @@ jumping, checkpointed each round.
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ from pyspark.sql.window import Window
 from .common import free_names, mix64, small, texts_of, work_dir, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Text bytes taken apart at once, and what separates words.
+CHUNK_BYTES, SPACE = 2 << 20, re.compile(rb"[\x20\x09-\x0D]")
 #: Points of a shard beyond which it is divided, rounds of that, and pairs compared at once.
 CAPACITY, LEVELS, BLOCK_PAIRS = 8192, 12, 1 << 18
 #: Points that the trees of a shard are fitted on, vantage points tried for a node, points of a shard that one task deals.
@@ -41,23 +44,44 @@ LEAF = 128
 ALL = (1 << 64) - 1
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
-    """SimHash of a text's word shingles as an unsigned number; 0 without words."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and ASCII white space
-    if not w:
-        return 0
-    joined = b" ".join(w)
-    ends = np.cumsum([len(x) + 1 for x in w])
-    starts = np.concatenate(([0], ends[:-1]))
-    n = max(1, len(w) - words + 1)
-    last = ends[min(words, len(w)) - 1 :] - 1
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : min(n, at + (1 << 15))].tolist(), last[at : at + (1 << 15)].tolist())], np.uint64)
+def shingle_hashes(text: str, words: int, most: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles in order, repeats included, a chunk at a time; a shorter text is one shingle, one without words none.
+
+    Words are cut at ASCII white space, ASCII letters in lower case.
+    """
+    data, digest, at, w, some = text.encode("utf-8", "surrogatepass").lower(), xxhash.xxh64_intdigest, 0, [], False
+    while at < len(data):
+        end = len(data)
+        if end - at > most and (m := SPACE.search(data, at + most)):
+            end = m.start()
+        w += data[at:end].split()
+        at = end
+        n = len(w) - words + 1
+        if n < 1:
+            continue
+        joined, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w])
+        starts, last = np.concatenate(([0], ends[: n - 1])), ends[words - 1 :] - 1
+        for i in range(0, n, 1 << 15):
+            yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 15)].tolist(), last[i : i + (1 << 15)].tolist())], np.uint64)
+        w, some = w[n:], True
+    if w and not some:
+        yield np.array([digest(b" ".join(w), SEED)], np.uint64)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of the hashes, as an unsigned number; 0 for none."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        n += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    """SimHash of a text's word shingles as an unsigned number; 0 without words. Texts of any length, a chunk at a time."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), fp (the 64 bits as a signed long) of every row; null texts are empty."""
 

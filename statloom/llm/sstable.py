@@ -36,6 +36,8 @@ FOOTER = struct.Struct("<QQQQQQQII8s")
 MAGIC = b"STLMSST1"
 BLOCK_BYTES = 256 << 10
 SHARD_BYTES = 256 << 20
+#: Rows beyond which a doc_id is spread over ranges; its ordinals then start anew, PART_ORDINALS apart, in each.
+HOT_ROWS, PART_ORDINALS = 10_000, 1 << 32
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long, first_key binary, last_key binary"
@@ -43,7 +45,7 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def key_of(doc_id: int | None, ordinal: int) -> bytes:
-    return (b"\x01" + struct.pack(">QI", (doc_id + (1 << 63)), ordinal)) if doc_id is not None else b"\x00" + struct.pack(">QI", 0, ordinal)
+    return b"\x00" + struct.pack(">QQ", 0, ordinal) if doc_id is None else b"\x01" + struct.pack(">QQ", doc_id + (1 << 63), ordinal)
 
 
 def doc_of(key: bytes) -> int | None:
@@ -195,7 +197,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_b
     alone). A null doc_id sorts first. Rows that repeat a doc_id are all kept, in the order of their texts'
     hash and text; identical ones are interchangeable. An empty table gives no shard. Only doc_id and text
     are read, whatever other columns there are. One range shuffle of the texts; a task streams its range and
-    holds one block.
+    holds one block. A doc_id with more than HOT_ROWS rows may span ranges, by the hash of its texts; the
+    ordinals in its keys then ascend with gaps.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +206,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_b
         end, size = enc.number(end_id), enc.dtype.itemsize
         part, seq, shard, made, last, ordinal = TaskContext.get().partitionId(), 0, None, [], (), 0
         for batch in small(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded_texts(enc, texts_of(batch.column(1)))):
-                ordinal = ordinal + 1 if last == (doc_id,) else 0
+            for doc_id, spread, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoded_texts(enc, texts_of(batch.column(1)))):
+                ordinal = ordinal + 1 if last == (doc_id,) else part * PART_ORDINALS if spread else 0
                 last = (doc_id,)
                 if shard is None:
                     shard = ShardWriter(f"{out}/shards/part-{part:06d}-{seq:04d}.sst", size)
@@ -217,10 +220,14 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shard_b
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # A repeated doc_id stays in one range: its ordinals are counted there.
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return written(ordered.mapInArrow(run, MANIFEST), f"{out}/manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("spread"))
+    hot = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).select(F.col("doc_id").alias("hot_id"), F.lit(True).alias("many")), f"{out}/hot")
+    if not hot.isEmpty():  # at most a row for HOT_ROWS rows
+        rows = rows.join(hot, rows["doc_id"].eqNullSafe(hot["hot_id"]), "left").select("doc_id", "text", F.coalesce("many", F.lit(False)).alias("spread"))
+    # Other doc_ids stay in one range: their ordinals are counted there.
+    h = F.when(F.col("spread"), F.xxhash64("text")).otherwise(F.lit(0))
+    ordered = rows.withColumn("h", h).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    return written(ordered.select("doc_id", "text", "spread").mapInArrow(run, MANIFEST), f"{out}/manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

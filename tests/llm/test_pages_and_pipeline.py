@@ -82,15 +82,84 @@ def test_pipeline_stages(spark):
     assert "pipeline" in __import__("__spark_entry__").queries()
 
 
-def test_pipeline_takes_odd_tables(spark, clashing, nothing, monkeypatch):
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - {"op2_mixing", "op6_warc"}))
+def test_columns_equal_their_sql(spark, name):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name]).df().sort_values("doc_id").reset_index(drop=True)
+    got = queries.QUERIES[name](spark, d).toPandas().sort_values("doc_id").reset_index(drop=True)[list(want.columns)]
+    assert got.astype(object).where(got.notna(), None).values.tolist() == want.astype(object).where(want.notna(), None).values.tolist()
+
+
+def five_words(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def one_of_each(rows):
+    """Row numbers that stay when chains of Jaccard 0.8 or more keep their smallest doc_id."""
+    sets = [five_words(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return {min((rows[i][0], i) for i in range(len(rows)) if group[i] == g)[1] for g in set(group)}
+
+
+def test_pipeline_rows_against_brute_force(spark):
+    """run()'s rows by plain loops: score, compare all pairs, encode; every id of every document left lies in one piece."""
+    import zlib
+
+    import numpy as np
+
+    from statloom.llm import quality
+    from statloom.llm.tokens import Encoder
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    good = [(r["doc_id"], r["text"]) for r in docs.collect() if model.score([(r["text"] or "").encode()])[0] >= quality.THRESHOLD]
+    left = [good[i] for i in one_of_each(good)]
+    enc = Encoder(queries.tokenizer_file("word_bpe_49k.json"), False)
+    want = {}
+    for i, t in left:
+        want[i] = np.frombuffer(enc._library(t or "") + enc.number(2), enc.dtype).astype("<u4")
+    got = corpus_pipeline.run(spark, d).collect()
+    assert {r["doc_id"] for r in got} == set(want) and len(left) < len(good)
+    at = {}
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
+        ids = want[r["doc_id"]]
+        assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids)
+        at[r["doc_id"]] = r["start"] + r["length"]
+        assert zlib.crc32(ids[r["start"] : at[r["doc_id"]]].tobytes()) == r["ids_crc32"]
+    assert all(at[i] == len(ids) for i, ids in want.items())
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    total = 0
+    for q, o, n in places:
+        assert q * 4096 + o == total
+        total += n
+
+
+def test_pipeline_takes_odd_tables(spark, clashing, nothing):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     path = f"{work_dir(spark, 'labels')}"
     labels.write.parquet(f"{path}/labels.parquet")
     for docs in (clashing, nothing):
-        now = docs
-        for _, stage in corpus_pipeline.STAGES:
+        now, ids = docs, None
+        for name, stage in corpus_pipeline.STAGES:
+            before = sorted(map(str, (r["doc_id"] for r in now.select("doc_id").collect())))
             now = stage(spark, now, path)
-        assert now.count() >= 0
+            ids = sorted(map(str, (r["doc_id"] for r in now.select("doc_id").collect())))
+            if name == "packing":
+                assert set(ids) == set(before)
+            elif name == "mixing":
+                assert ids == before and now.columns == docs.columns
+            else:
+                assert set(ids) <= set(before) and now.columns == docs.columns
+        assert bool(ids) == (docs is clashing)
 
 
 def test_nothing_else_needs_this_subpackage(tmp_path):
