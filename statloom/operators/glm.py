@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import LINKS, largest
+from ..functions.columns import LINKS, largest, log_gamma
 from ..functions.special import chisq_cdf, normal_cdf, normal_quantile
 from ..plans import formula as fm
 from ..plans.gram import gram, gram_by
@@ -117,34 +117,34 @@ class GLM:
         return self.predict(df, "fitted").withColumn(output, fm.response(tree) - F.col("fitted"))
 
 
-def _likelihood(family: str, y: Column, mu: Column, phi: float, theta: float, w: Column) -> Column:
-    """Log-likelihood of a row without the terms in y alone that need a log-gamma; those are added by lgamma sums."""
-    two_pi = math.log(2 * math.pi)
+def _likelihood(family: str, y: Column, mu: Column, theta: float, w: Column) -> list[Column]:
+    """Two terms of a row whose sums, with the deviance, give the log-likelihood; see _log_likelihood."""
+    zero = F.lit(0.0)
     if family == "gaussian":
-        return -0.5 * (w * (y - mu) * (y - mu) / phi + math.log(phi) + two_pi)
+        return [zero, zero]
     if family == "binomial":
-        return w * (F.when(y > 0, y * F.log(mu)).otherwise(F.lit(0.0)) + F.when(y < 1, (1 - y) * F.log(1 - mu)).otherwise(F.lit(0.0)))
+        return [w * (F.when(y > 0, y * F.log(mu)).otherwise(zero) + F.when(y < 1, (1 - y) * F.log(1 - mu)).otherwise(zero)), zero]
     if family == "poisson":
-        return w * (y * F.log(mu) - mu)
+        return [w * (y * F.log(mu) - mu - log_gamma(y + 1)), zero]
     if family == "gamma":
-        k = 1 / phi
-        return w * (k * F.log(k * y / mu) - k * y / mu - F.log(y) - math.lgamma(k))
+        return [w * (F.log(y / mu) - y / mu), w * F.log(y)]
     if family == "inverse_gaussian":
-        return -0.5 * w * ((y - mu) * (y - mu) / (phi * mu * mu * y) + math.log(phi) + two_pi + 3 * F.log(y))
-    return w * (theta * math.log(theta) - math.lgamma(theta) + y * F.log(mu) - (theta + y) * F.log(theta + mu))
-
+        return [zero, w * F.log(y)]
+    return [w * (y * F.log(mu) - (theta + y) * F.log(theta + mu) + log_gamma(y + theta) - log_gamma(y + 1)), zero]
 
-def _log_gammas(df: DataFrame, y: Column, family: str, theta: float, w: Column) -> float:
-    """The part of a count model's log-likelihood in y alone: by distinct count, as counts repeat."""
-    if family not in ("poisson", "negative_binomial"):
-        return 0.0
 
-    @F.pandas_udf("double")
-    def value(v):
-        return v.map(lambda k: -math.lgamma(k + 1) + (math.lgamma(k + theta) if family == "negative_binomial" else 0.0))
-
-    counts = df.groupBy(y.alias("k")).agg(F.sum(w).alias("w"))
-    return counts.agg(F.sum(value("k") * F.col("w"))).first()[0] or 0.0
+def _log_likelihood(family: str, sums: dict, phi: float, theta: float) -> float:
+    """From the sums of weights, deviance and _likelihood's terms; phi: the likelihood's own scale."""
+    w, dev, a, b = (float(sums[k] or 0.0) for k in ("w", "dev", "a", "b"))
+    scale = w * (math.log(phi) + math.log(2 * math.pi))
+    if family == "gaussian":
+        return -0.5 * (dev / phi + scale)
+    if family == "inverse_gaussian":
+        return -0.5 * (dev / phi + scale + 3 * b)
+    if family == "gamma":
+        k = 1 / phi
+        return k * a + w * (k * math.log(k) - math.lgamma(k)) - b
+    return a + (w * (theta * math.log(theta) - math.lgamma(theta)) if family == "negative_binomial" else 0.0)
 
 
 def solve(g: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +180,7 @@ def glm(df: DataFrame, formula: str, family: str = "gaussian", link: str | None
     one_pass = family == "gaussian" and link == "identity"
     rows = rows if one_pass else rows.cache()
     try:
+        total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy")).first()
         beta, last, inv, converged, steps = None, math.inf, None, False, 0
         for steps in range(1, 2 if one_pass else max_iter + 1):
             if beta is None:
@@ -205,20 +206,19 @@ def glm(df: DataFrame, formula: str, family: str = "gaussian", link: str | None
                 converged = True
                 break
             last = deviance
-        eta = linear(names, beta) + o
-        final = rows.withColumn("__mu", g_inverse(eta))
-        mu = F.col("__mu")
-        sums = final.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * unit(y, mu, theta)).alias("dev"), F.sum(w * (y - mu) * (y - mu) / variance(mu, theta)).alias("chi")).first()
-        n, p = sums["n"], len(names)
-        if not n:
+        # One closing pass: the deviances, the Pearson sum and what the likelihood needs.
+        p, fixed = len(names), family in ("binomial", "poisson", "negative_binomial")
+        if not total["n"]:
             raise ValueError("no complete row")
-        mean = sums["wy"] / sums["w"]
-        null = final.agg(F.sum(w * unit(y, F.lit(float(mean)), theta))).first()[0]
-        fixed = family in ("binomial", "poisson", "negative_binomial")
+        final = rows.withColumn("__mu", g_inverse(linear(names, beta) + o))
+        mu, mean = F.col("__mu"), F.lit(float(total["wy"] / total["w"]))
+        parts = _likelihood(family, y, mu, theta, w)
+        sums = final.agg(F.sum(w).alias("w"), F.sum(w * unit(y, mu, theta)).alias("dev"), F.sum(w * (y - mu) * (y - mu) / variance(mu, theta)).alias("chi"), F.sum(w * unit(y, mean, theta)).alias("null"), F.sum(parts[0]).alias("a"), F.sum(parts[1]).alias("b")).first()
+        n, null = total["n"], sums["null"]
         phi = dispersion if dispersion is not None else 1.0 if fixed else sums["chi"] / max(n - p, 1)
         # The likelihood's own scale is the maximum-likelihood one, and it counts as a parameter.
         ml = sums["dev"] / n if family in ("gaussian", "inverse_gaussian", "gamma") else phi
-        log_lik = final.agg(F.sum(_likelihood(family, y, mu, max(ml, 1e-300), theta, w))).first()[0] + _log_gammas(final, y, family, theta, w)
+        log_lik = _log_likelihood(family, sums.asDict(), max(ml, 1e-300), theta)
         k = p + (0 if fixed else 1)
     finally:
         rows.unpersist()

@@ -106,8 +106,6 @@ def studentized_range_cdf(q: float, k: int, df: float, steps: int = 64) -> float
         h = 16 / 128
         return min(1.0, k * sum((normal_cdf(z) - normal_cdf(z - w)) ** (k - 1) * math.exp(-z * z / 2) / math.sqrt(2 * math.pi) for z in (-8 + (i + 0.5) * h for i in range(128))) * h)
 
-    if df > 5000:
-        return normal_range(q)
     log_c = df / 2 * math.log(df) - math.lgamma(df / 2) - (df / 2 - 1) * math.log(2)
     spread = 8 / math.sqrt(2 * df)
     low, high = max(1e-6, 1 - spread), 1 + spread

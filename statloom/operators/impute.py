@@ -7,11 +7,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import dot_columns
 from ..plans.gram import gram
 from ..sources.models import saveable
 from ..sources.tables import is_numeric, normalize, settled
+from .neighbors import meet
 
 
 @saveable
@@ -57,70 +59,96 @@ def group_impute(df: DataFrame, columns: list[str], group: str, strategy: str =
 
 @dataclass
 class KNNImputer:
-    """Missing values from the nearest donors among ``train``, a table of bounded size held by every task.
+    """Missing values from the nearest donors: the rows it was fitted on, any number of them.
 
     Distances are Euclidean over dimensions both rows have; Gower's if a column is text. Only the row itself
-    (same key) is no donor of its own. No donor: 0, or the missing value for text.
+    (same key) is no donor of its own; equal distances are ranked by key. No donor: 0, or the missing value
+    for text. Donors are cut into pieces of at most ``held`` rows; rows with gaps meet each piece in blocks,
+    and the best of all pieces are taken. Distances over shared dimensions are no metric, so no piece can be left out.
     """
 
     columns: list[str]
-    train: object
+    donors: DataFrame
+    key: str
     numeric: list[bool]
+    width: list[float]
     k: int = 5
     weights: str = "uniform"
-    max_train: int = 50_000
+    held: int = 50_000
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: list[str], key: str, k: int = 5, weights: str = "uniform", max_train: int = 50_000) -> KNNImputer:
+    def fit(cls, df: DataFrame, columns: list[str], key: str, k: int = 5, weights: str = "uniform", held: int = 50_000) -> KNNImputer:
         df, kinds = normalize(df), dict(df.dtypes)
-        rows = df.select(key, *columns).limit(max_train + 1).toPandas()
-        if len(rows) > max_train:
-            raise ValueError(f"the donors are a table of at most {max_train} rows; pass a sample")
-        return cls(list(columns), rows, [is_numeric(kinds[c]) for c in columns], k, weights, max_train)
+        numeric = [is_numeric(kinds[c]) for c in columns]
+        r = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"w{i}") if num else F.lit(1.0).alias(f"w{i}") for i, (c, num) in enumerate(zip(columns, numeric))]).first()
+        return cls(list(columns), df.select(key, *columns), key, numeric, [r[f"w{i}"] or 1.0 for i in range(len(columns))], k, weights, held)
 
-    def transform(self, df: DataFrame, key: str) -> DataFrame:
-        columns, numeric, k, weights, names = self.columns, self.numeric, self.k, self.weights, df.columns
-        told = df.sparkSession.sparkContext.broadcast(self.train)
-        schema = ", ".join(f"`{c}` {'double' if c in columns and numeric[columns.index(c)] else t}" for c, t in df.dtypes)
+    def _parts(self, df: DataFrame) -> DataFrame:
+        """id, and a column for each of the imputer's: doubles, or texts."""
+        return df.select(F.col(self.key).alias("id"), *[F.col(c).cast("double" if num else "string").alias(f"c{i}") for i, (c, num) in enumerate(zip(self.columns, self.numeric))])
 
-        def run(batches):
+    def transform(self, df: DataFrame, key: str) -> DataFrame:
+        columns, numeric, width, k, names = self.columns, self.numeric, self.width, self.k, df.columns
+        df = settled(normalize(df).withColumn("__row", F.monotonically_increasing_id()))
+        gap = F.lit(False)
+        for c in columns:
+            gap = gap | F.col(c).isNull()
+        kind, gower = dict(self.donors.dtypes)[self.key], not all(numeric)
+        donors = self._parts(self.donors)
+        n = max(1, -(-self.donors.count() // self.held))
+        lots = max(1, df.sparkSession.sparkContext.defaultParallelism // n)
+        donors = donors.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+        asked = df.filter(gap).select("__row", F.col(key).cast(kind).alias("id"), *[F.col(c).cast("double" if num else "string").alias(f"c{i}") for i, (c, num) in enumerate(zip(columns, numeric))])
+        asked = asked.withColumn("lot", F.pmod(F.xxhash64("__row"), F.lit(lots)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+        def work(held, b):
             import pandas as pd
 
-            donors = told.value
-            ids = donors[key].to_numpy()
-            base = [pd.to_numeric(donors[c]).to_numpy(float) if is_num else donors[c].to_numpy(object) for c, is_num in zip(columns, numeric)]
-            width = [np.nanmax(b) - np.nanmin(b) if is_num and np.isfinite(b).any() else 1.0 for b, is_num in zip(base, numeric)]
-            gower = not all(numeric)
-            for b in batches:
-                values = [pd.to_numeric(b[c]).to_numpy(float) if is_num else b[c].to_numpy(object) for c, is_num in zip(columns, numeric)]
-                missing = np.column_stack([pd.isna(v) for v in values])
-                for i in np.flatnonzero(missing.any(1)):
-                    total, seen = np.zeros(len(ids)), np.zeros(len(ids))
-                    for v, d, is_num, w in zip(values, base, numeric, width):
-                        if pd.isna(v[i]):
-                            continue
-                        has = ~pd.isna(d)
-                        diff = np.zeros(len(ids))
-                        diff[has] = (np.abs(d[has] - v[i]) / (w or 1.0) if gower else (d[has] - v[i]) ** 2) if is_num else (d[has] != v[i]).astype(float)
-                        total += diff
-                        seen += has
-                    dist = np.where((seen > 0) & (ids != b[key].iloc[i]), total / np.maximum(seen, 1) if gower else np.sqrt(total), np.inf)
-                    order = np.argsort(dist, kind="stable")
-                    for j, (v, d, is_num) in enumerate(zip(values, base, numeric)):
-                        if not missing[i, j]:
-                            continue
-                        pick = [o for o in order if np.isfinite(dist[o]) and not pd.isna(d[o])][:k]
-                        w = np.array([1 / max(dist[o], 1e-9) if weights == "distance" else 1.0 for o in pick])
-                        if is_num:
-                            v[i] = float((d[pick] * w).sum() / w.sum()) if pick else 0.0
-                        elif pick:
-                            votes: dict = {}
-                            for o, x in zip(pick, w):
-                                votes[d[o]] = votes.get(d[o], 0) + x
-                            v[i] = max(votes, key=votes.get)
-                yield b.assign(**dict(zip(columns, values)))[names]
-
-        return df.mapInPandas(run, schema)
+            held = held.sort_values("id", kind="stable", ignore_index=True)
+            ids = held["id"].to_numpy()
+            base = [held[f"c{i}"].to_numpy(float if num else object) for i, num in enumerate(numeric)]
+            has = [~pd.isna(d) for d in base]
+            values = [b[f"c{i}"].to_numpy(float if num else object) for i, num in enumerate(numeric)]
+            missing = np.column_stack([pd.isna(v) for v in values])
+            step = max(1, (1 << 21) // max(1, len(ids)))
+            for at in range(0, len(b), step):
+                part = slice(at, at + step)
+                total, seen = (np.zeros((len(b["id"].iloc[part]), len(ids))) for _ in range(2))
+                for i, num in enumerate(numeric):
+                    both = ~missing[part, i][:, None] & has[i][None, :]
+                    if num:
+                        d = np.where(both, values[i][part][:, None] - base[i][None, :], 0.0)
+                        total += np.abs(d) / width[i] if gower else d * d
+                    else:
+                        total += both & (values[i][part].astype(object)[:, None] != base[i][None, :])
+                    seen += both
+                dist = np.where((seen > 0) & (b["id"].to_numpy()[part][:, None] != ids[None, :]), total / np.maximum(seen, 1) if gower else np.sqrt(total), np.inf)
+                rows = b["__row"].to_numpy()[part]
+                for i, num in enumerate(numeric):
+                    want = np.flatnonzero(missing[part, i])
+                    own = np.flatnonzero(has[i])
+                    if not len(want) or not len(own):
+                        continue
+                    d = dist[np.ix_(want, own)]
+                    m = min(k, len(own))
+                    cut = np.partition(d, m - 1, axis=1)[:, m - 1]
+                    out = []
+                    for r, (line, c) in enumerate(zip(d, cut)):
+                        pick = np.flatnonzero((line <= c) & np.isfinite(line))
+                        pick = pick[np.argsort(line[pick], kind="stable")][:m]
+                        out.append(pd.DataFrame({"__row": rows[want[r]], "col": np.int32(i), "d": line[pick], "id": ids[own[pick]], "num": base[i][own[pick]] if num else np.nan, "txt": None if num else base[i][own[pick]]}))
+                    yield pd.concat(out, ignore_index=True)
+
+        found = meet(donors, asked, ["piece", "lot"], work, f"__row long, col int, d double, id {kind}, num double, txt string")
+        best = found.withColumn("__place", F.row_number().over(Window.partitionBy("__row", "col").orderBy("d", "id"))).filter(F.col("__place") <= k)
+        w = F.try_divide(F.lit(1.0), F.greatest("d", F.lit(1e-9))) if self.weights == "distance" else F.lit(1.0)
+        votes = best.withColumn("w", w).groupBy("__row", "col", "txt").agg(F.sum("w").alias("w"), F.sum(F.col("num") * F.col("w")).alias("nw"), F.min("__place").alias("first"))
+        pick = F.max(F.struct("w", (-F.col("first")).alias("near"), "txt"))["txt"]
+        made = votes.groupBy("__row", "col").agg((F.sum("nw") / F.sum("w")).alias("num"), pick.alias("txt"))
+        wide = made.groupBy("__row").agg(*[F.max(F.when(F.col("col") == i, F.col("num" if num else "txt"))).alias(f"__f{i}") for i, num in enumerate(numeric)])
+        out = df.join(wide, "__row", "left")
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"__f{i}"), F.lit(0.0)) if num else F.coalesce(F.col(c), F.col(f"__f{i}")) for i, (c, num) in enumerate(zip(columns, numeric))}
+        return out.withColumns(filled).select(*names)
 
 
 @saveable

@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normal_inverse
 from ..plans.ordering import indexed, picked
+from ..sources.tables import settled
 from .resample import shuffled
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
 def permutation_importance(df: DataFrame, columns: list[str], key: str, score: Callable[[DataFrame], float], repeats: int = 10, seed: int = 42) -> list[dict]:
-    """Baseline score less the score with a column's values dealt to other rows: mean and population deviation, largest first."""
-    base, out = score(df), []
-    placed = indexed(df, [key], "__at")
-    for i, c in enumerate(columns):
-        drops = []
-        for r in range(repeats):
-            other = indexed(df.select(key, F.col(c).alias("__v")), shuffled([key], seed + 1000 * i + r), "__at").drop(key)
-            drops.append(base - score(placed.drop(c).join(other, "__at").withColumnRenamed("__v", c)))
-        out.append({"feature": c, "importance": float(np.mean(drops)), "std": float(np.std(drops))})
+    """Baseline score less the score with a column's values dealt to other rows: mean and population deviation, largest first.
+
+    A repeat is one order of the rows by a hash; every column in turn takes its values from there.
+    """
+    base, drops = score(df), {c: [] for c in columns}
+    placed = settled(indexed(df, [key], "__at"))
+    for r in range(repeats):
+        other = indexed(df.select(key, *[F.col(c).alias(f"__v_{c}") for c in columns]), shuffled([key], seed + r), "__at").drop(key)
+        both = settled(placed.join(other, "__at"))
+        for c in columns:
+            drops[c].append(base - score(both.withColumn(c, F.col(f"__v_{c}")).select(*df.columns)))
+    out = [{"feature": c, "importance": float(np.mean(d)), "std": float(np.std(d))} for c, d in drops.items()]
     return sorted(out, key=lambda d: -d["importance"])
 
 

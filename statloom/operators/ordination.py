@@ -178,29 +178,30 @@ class RDA:
         return df.withColumns({f"{prefix}{i + 1}": c for i, c in enumerate(made)})
 
 
-def rda_permutations(df: DataFrame, y: list[str], x: list[str], key: str, permutations: int = 199, seed: int = 42) -> dict:
+def rda_permutations(df: DataFrame, y: list[str], x: list[str], key: str, permutations: int = 199, seed: int = 42, block: int = 50) -> dict:
     """Permutation test of the pseudo-F: p = (as large or larger + 1) / (permutations + 1).
 
-    A permutation pairs x rows with y rows by two hash orders; only the cross-products x'y change, and they are
-    summed in one aggregate for a block of permutations.
+    A permutation pairs the rows' x in the order of the key with their y in the order of a hash; only the
+    cross-products x'y change. A block of permutations is one order, one join and one aggregate.
     """
-    from .resample import shuffled
     from ..plans.ordering import indexed
 
-    rows = normalize(df).select(key, *[F.col(c).cast("double").alias(c) for c in (*y, *x)]).dropna()
+    rows = settled(normalize(df).select(key, *[F.col(c).cast("double").alias(c) for c in (*y, *x)]).dropna())
     g = gram(rows, [*y, *x])
-    observed = RDA.of(g, y, x).statistic
-    base = settled(indexed(rows, [key], "__at"))
-    larger = 0
-    for i in range(permutations):
-        other = indexed(base.select(*[F.col(c).alias(f"__y{j}") for j, c in enumerate(y)], key), shuffled([key], seed + i), "__at").drop(key)
-        both = base.select("__at", *x).join(other, "__at")
-        sums = both.agg(*[F.sum(F.col(a) * F.col(f"__y{j}")).alias(f"s{k}_{j}") for k, a in enumerate(x) for j in range(len(y))]).first()
-        p, m = len(y), g.g.copy()
-        for k in range(len(x)):
-            for j in range(p):
-                m[p + k, j] = m[j, p + k] = sums[f"s{k}_{j}"]
-        larger += RDA.of(Gram(g.names, g.n, g.s, m), y, x).statistic >= observed - 1e-12
+    observed, n = RDA.of(g, y, x).statistic, int(g.n)
+    base = settled(indexed(rows.select(key, *x), [key], "__at").drop(key))
+    p, larger = len(y), 0
+    for first in range(0, permutations, block):
+        many = rows.select(key, *[F.col(c).alias(f"__y{j}") for j, c in enumerate(y)]).withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(min(block, permutations - first) - 1))))
+        many = many.withColumn("__hash", F.xxhash64(F.lit(seed + first) + F.col("__turn"), key))
+        placed = indexed(many, ["__turn", "__hash", key], "__at").withColumn("__at", F.col("__at") - F.col("__turn") * n)
+        cells = [F.sum(F.col(a) * F.col(f"__y{j}")).alias(f"s{k}_{j}") for k, a in enumerate(x) for j in range(p)]
+        for sums in placed.join(base, "__at").groupBy("__turn").agg(*cells).collect():
+            m = g.g.copy()
+            for k in range(len(x)):
+                for j in range(p):
+                    m[p + k, j] = m[j, p + k] = sums[f"s{k}_{j}"]
+            larger += RDA.of(Gram(g.names, g.n, g.s, m), y, x).statistic >= observed - 1e-12
     return {"statistic": observed, "p_value": (larger + 1) / (permutations + 1), "permutations": permutations}
 
 

@@ -13,8 +13,8 @@ from ..functions.special import chisq_cdf
 from ..plans.gram import gram
 from ..plans.ordering import picked
 from ..sources.models import saveable
-from ..sources.tables import normalize
-from .neighbors import neighbors
+from ..sources.tables import normalize, settled
+from .neighbors import HELD, neighbors
 
 
 def quadratic_form(columns: list[Column], center: np.ndarray, precision: np.ndarray) -> Column:
@@ -134,14 +134,13 @@ class IsolationForest:
         return label_at(self.score(df, "__s"), "__s", self.threshold, output).drop("__s")
 
 
-def local_outlier_factor(df: DataFrame, columns: list[str], key: str, k: int = 20, contamination: float = 0.1, max_rows: int = 50_000) -> DataFrame:
-    """``df``'s key, lof and outlier. Neighbours come from blocks against the whole table, which every task holds.
+def local_outlier_factor(df: DataFrame, columns: list[str], key: str, k: int = 20, contamination: float = 0.1, metric: str = "euclidean", held: int = HELD) -> DataFrame:
+    """``df``'s key, lof and outlier, for a table of any size: neighbours come from ``neighbors``, by shards beyond ``held`` rows.
 
     k-distance, reachability, density and factor are joins over the k-neighbour table.
     """
     rows = normalize(df).dropna(subset=columns)
-    near = neighbors(rows, rows, columns, key, key, k, exclude_self=True, max_train=max_rows)
-    near = near.select("query", "neighbor", "distance")
+    near = settled(neighbors(rows, rows, columns, key, key, k, metric, exclude_self=True, held=held).select("query", "neighbor", "distance"))
     kdist = near.groupBy(F.col("query").alias("neighbor")).agg(F.max("distance").alias("kdist"))
     reach = near.join(kdist, "neighbor").withColumn("reach", F.greatest("distance", "kdist"))
     density = reach.groupBy("query").agg(F.try_divide(F.lit(1.0), F.avg("reach")).alias("lrd"))

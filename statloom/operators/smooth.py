@@ -224,6 +224,12 @@ class Kernel:
     def __add__(self, other: Kernel) -> Kernel:
         return Kernel("sum", parts=[self, other])
 
+    def diagonal(self, a: np.ndarray) -> np.ndarray:
+        """k(x, x) of every row."""
+        if self.kind == "sum":
+            return sum(p.diagonal(a) for p in self.parts)
+        return self.variance + (a * a).sum(1) if self.kind == "dot" else np.full(len(a), float(self.variance))
+
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.kind == "sum":
             return sum(p(a, b) for p in self.parts)
@@ -300,7 +306,7 @@ class GaussianProcess:
         return cls(list(columns), kernel, x, best[0], best[1], float(mean), float(scale), best[2])
 
     def predict(self, df: DataFrame, output: str = "prediction", std: bool = False) -> DataFrame:
-        told = df.sparkSession.sparkContext.broadcast(self)
+        told, inverse = df.sparkSession.sparkContext.broadcast(self), []
         kind = "struct<m:double,s:double>"
 
         @F.pandas_udf(kind)
@@ -308,11 +314,12 @@ class GaussianProcess:
             import pandas as pd
 
             p = told.value
+            if not inverse:  # a worker inverts the factor once; a batch takes one product of matrices
+                inverse.append(np.linalg.inv(p.chol))
             z = np.column_stack([s.to_numpy(float) for s in series])
             k = p.kernel(z, p.x)
-            v = np.linalg.solve(p.chol, k.T)
-            own = np.array([p.kernel(r[None], r[None])[0, 0] for r in z])
-            return pd.DataFrame({"m": k @ p.weights * p.scale + p.mean, "s": np.sqrt(np.maximum(own - (v * v).sum(0), 0)) * p.scale})
+            v = k @ inverse[0].T
+            return pd.DataFrame({"m": k @ p.weights * p.scale + p.mean, "s": np.sqrt(np.maximum(p.kernel.diagonal(z) - (v * v).sum(1), 0)) * p.scale})
 
         out = df.withColumn("__v", value(*[F.col(c).cast("double") for c in self.columns]))
         return out.withColumns({output: F.col("__v.m")} | ({f"{output}_std": F.col("__v.s")} if std else {})).drop("__v")

@@ -21,13 +21,23 @@ from ..sources.tables import normalize
 
 
 def cut_points(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
-    """Midpoints of neighbouring distinct values, or ``bins`` quantiles' midpoints where there are more values."""
+    """Midpoints of neighbouring distinct values, or ``bins`` quantiles' midpoints where there are more values.
+
+    With ``bins`` of at least the number of distinct values the cuts are exact. One aggregate estimates how
+    many values each column has, one gathers the values of the short ones, one the quantiles of the others.
+    """
+    x = {c: F.col(c).cast("double") for c in columns}
+    about = df.agg(*[F.approx_count_distinct(v, 0.02).alias(f"n{i}") for i, v in enumerate(x.values())]).first()
+    short = [c for i, c in enumerate(columns) if about[f"n{i}"] <= 1.3 * bins + 10]
+    got = df.agg(*[F.collect_set(x[c]).alias(f"v{i}") for i, c in enumerate(short)]).first() if short else []
+    values = {c: got[f"v{i}"] for i, c in enumerate(short) if len(got[f"v{i}"]) <= bins}
+    rest = [c for c in columns if c not in values]
+    if rest:
+        q = df.agg(*[F.percentile_approx(x[c], [i / bins for i in range(bins + 1)], F.lit(100 * bins)).alias(f"q{i}") for i, c in enumerate(rest)]).first()
+        values |= {c: q[f"q{i}"] or [] for i, c in enumerate(rest)}
     out = {}
     for c in columns:
-        values = [r[0] for r in df.select(F.col(c).cast("double")).distinct().limit(bins + 1).collect() if r[0] is not None]
-        if len(values) > bins:
-            values = df.agg(F.percentile_approx(F.col(c).cast("double"), [i / bins for i in range(bins + 1)], 100 * bins)).first()[0]
-        v = sorted(set(values))
+        v = sorted(set(values[c]))
         out[c] = [(a + b) / 2 for a, b in zip(v, v[1:])]
     return out
 
@@ -127,17 +137,17 @@ def _share(each: Column, i: int) -> Column:
 def _impurity(stats: np.ndarray, task: str, criterion: str) -> np.ndarray:
     """Impurity along the first axis: class counts, or (w, sum, sum of squares)."""
     if task == "regression":
-        w = np.maximum(stats[..., 0], 1e-300)
+        w = np.where(stats[..., 0] > 0, stats[..., 0], np.inf)  # nothing: 0
         return np.maximum(stats[..., 2] / w - (stats[..., 1] / w) ** 2, 0)
-    n = np.maximum(stats.sum(-1, keepdims=True), 1e-300)
-    p = stats / n
+    n = stats.sum(-1, keepdims=True)
+    p = stats / np.where(n > 0, n, np.inf)
     if criterion == "entropy":
         return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
     return 1 - p.max(-1) if criterion == "error" else 1 - (p * p).sum(-1)
 
 
-def grow(df: DataFrame, columns: list[str], y: str, task: str = "classification", max_depth: int = 10, min_split: int = 2, min_leaf: int = 1, min_gain: float = 1e-7, criterion: str = "gini", bins: int = 64, weight: Column | None = None, features_per_node: int | None = None, seed: int = 42, cuts: dict | None = None, classes: list | None = None, max_leaves: int = 4096) -> Tree:
-    """Grow a tree level by level. Missing values in ``columns`` or ``y`` leave a row out."""
+def grow(df: DataFrame, columns: list[str], y: str, task: str = "classification", max_depth: int = 10, min_split: int = 2, min_leaf: int = 1, min_gain: float = 1e-7, criterion: str = "gini", bins: int = 64, weight: Column | None = None, features_per_node: int | None = None, seed: int = 42, cuts: dict | None = None, classes: list | None = None, max_leaves: int | None = None) -> Tree:
+    """Grow a tree level by level. Missing values in ``columns`` or ``y`` leave a row out. max_leaves: about, if given."""
     rows = normalize(df).dropna(subset=[*columns, y])
     classes = classes if classes is not None else (sorted(r[0] for r in rows.select(y).distinct().collect()) if task == "classification" else [])
     cuts = cuts or cut_points(rows, columns, bins)
@@ -174,7 +184,7 @@ def grow(df: DataFrame, columns: list[str], y: str, task: str = "classification"
                 node = nodes[i] | {"n": float(n), "impurity": imp}
                 node |= {"value": float(stats[1] / n) if n else 0.0} if task == "regression" else {"value": classes[int(stats.argmax())], "shares": (stats / max(n, 1e-300)).tolist()}
                 best = None
-                if node["depth"] < max_depth and n >= min_split and imp > 0 and len(nodes) < 2 * max_leaves:
+                if node["depth"] < max_depth and n >= min_split and imp > 0 and (max_leaves is None or len(nodes) < 2 * max_leaves):
                     chosen = range(len(columns)) if features_per_node is None else sorted(rng.choice(len(columns), min(features_per_node, len(columns)), replace=False))
                     for f in chosen:
                         if not cuts[columns[f]]:

@@ -294,10 +294,43 @@ def test_neighbours(line):
     assert sum(pr.values()) == pytest.approx(1)
     near = neighbors.radius_pairs(line, ["x", "z"], "k", 0.3).count()
     assert near == neighbors.neighbors(line, line, ["x", "z"], "k", "k", radius=0.3).count()
-    with pytest.raises(ValueError):
-        neighbors.neighbors(line, line, ["x"], "k", "k", max_train=10)
-    parts = neighbors.kd_split(np.random.default_rng(0).normal(size=(500, 2)))
-    assert sorted(np.concatenate(parts)) == list(range(500)) and max(map(len, parts)) <= 64
+
+
+def rows_of(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "minkowski", "canberra", "hamming", "cosine"])
+def test_shards_give_the_same_neighbours(line, metric):
+    """A reference side beyond what a task holds: equal rows, whatever the metric, ties and copies included."""
+    some = line.select("k", F.round("x", 1).alias("x"), F.round("z", 1).alias("z"), (F.col("k") % 3).cast("double").alias("u"), "c")
+    args = (some, some, ["x", "z", "u"], "k", "k")
+    assert rows_of(neighbors.neighbors(*args, 4, metric, extra=["c"], held=40)) == rows_of(neighbors.neighbors(*args, 4, metric, extra=["c"]))
+    assert rows_of(neighbors.neighbors(*args, 3, metric, exclude_self=True, held=40)) == rows_of(neighbors.neighbors(*args, 3, metric, exclude_self=True))
+    if metric in ("euclidean", "cosine"):
+        assert rows_of(neighbors.neighbors(*args, radius=0.4, metric=metric, held=40)) == rows_of(neighbors.neighbors(*args, radius=0.4, metric=metric))
+
+
+def test_methods_on_neighbours_have_no_row_limit(line):
+    from statloom.operators import impute, outliers
+
+    lof = rows_of(outliers.local_outlier_factor(line, ["x", "z"], "k", 5).select("k", "lof"))
+    assert rows_of(outliers.local_outlier_factor(line, ["x", "z"], "k", 5, held=50).select("k", "lof")) == lof
+    s = rows_of(cluster.silhouette_samples(line, ["x", "z"], "k", "c"))
+    assert rows_of(cluster.silhouette_samples(line, ["x", "z"], "k", "c", held=70)) == s
+    gaps = line.select("k", F.when(F.col("k") % 4 != 0, F.col("x")).alias("x"), "z", F.when(F.col("k") % 5 != 0, F.col("c").cast("string")).alias("t"))
+    for columns in (["x", "z"], ["x", "z", "t"]):
+        full = rows_of(impute.KNNImputer.fit(gaps, columns, "k", 3).transform(gaps, "k"))
+        assert rows_of(impute.KNNImputer.fit(gaps, columns, "k", 3, held=60).transform(gaps, "k")) == full and all(None not in r[:3] for r in full)
+    votes = neighbors.knn_classify(line, line, ["x", "z"], "k", "k", "c", 3, held=50)
+    assert rows_of(votes) == rows_of(neighbors.knn_classify(line, line, ["x", "z"], "k", "k", "c", 3))
+
+
+def test_components_of_many_edges(spark):
+    edges = spark.createDataFrame([(i, i + 7) for i in range(700)] + [(5000, 5001), (9, 9)], "a long, b long").repartition(6)
+    want = {i: i % 7 for i in range(707)} | {5000: 5000, 5001: 5000}
+    for local in (500_000, 10):
+        assert {r["node"]: r["component"] for r in cluster.connected(edges, local).collect()} == want
 
 
 def test_p_values(spark):
