@@ -323,9 +323,8 @@ def knn_topk(spark, d):
 @query(f"""WITH p AS ({PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbor) AS rank FROM p), v AS (SELECT query, label, count(*) AS w, min(rank) AS first FROM r WHERE rank <= 7 GROUP BY 1, 2)
 SELECT query, label AS predicted, w / 7.0 AS probability FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY w DESC, first) AS k FROM v) WHERE k = 1""")
 def knn_classify(spark, d):
-    votes = near(spark, d, 7).groupBy("query", "label").agg(F.count(F.lit(1)).alias("w"), F.min("rank").alias("first"))
-    best = votes.groupBy("query").agg(F.max(F.struct("w", (-F.col("first")).alias("near"), "label")).alias("top"), F.sum("w").alias("all"))
-    return best.select("query", F.col("top.label").alias("predicted"), (F.col("top.w") / F.col("all")).alias("probability"))
+    e = load(spark, d, "embeddings")
+    return neighbors.knn_classify(e, e, ["embedding"], "vec_id", "vec_id", "label", 7, exclude_self=True)
 
 
 @query("""WITH d AS (SELECT a.p_partkey AS query, b.p_retailprice AS y, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CAST(abs(a.p_size - b.p_size) AS DOUBLE), b.p_partkey) AS r FROM part a, part b)
@@ -614,7 +613,8 @@ def p_adjust(spark, d):
 @query()
 def fisher_exact(spark, d):
     c = {(r[0], r[1]): r[2] for r in load(spark, d, "lineitem").groupBy((F.col("l_returnflag") == "R"), F.col("l_linestatus") == "F").count().collect()}
-    return one_row(spark, htests.fisher_exact(*[int(c.get(k, 0)) for k in ((True, True), (True, False), (False, True), (False, False))]))
+    got = htests.fisher_exact(*[int(c.get(k, 0)) for k in ((True, True), (True, False), (False, True), (False, False))])
+    return one_row(spark, {k: round(v, 6) for k, v in got.items()})
 
 
 # Models.
@@ -1010,7 +1010,8 @@ def kernel_shap(spark, d):
     import numpy as np
 
     s = load(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return interpret.kernel_shap(s, ["s_nationkey", "s_acctbal"], lambda x: 3 * x[:, 0] - x[:, 1] / 100, np.array([[12.0, 5000.0], [3.0, 100.0]]))
+    got = interpret.kernel_shap(s, ["s_nationkey", "s_acctbal"], lambda x: 3 * x[:, 0] - x[:, 1] / 100, np.array([[12.0, 5000.0], [3.0, 100.0]]))
+    return rounded(got, 6, ["s_acctbal"])
 
 
 @query()
@@ -1028,7 +1029,7 @@ def grid_search(spark, d):
     p = load(spark, d, "part")
     score = lambda m, df: -m.predict(df).agg(F.avg((F.col("p_retailprice") - F.col("prediction")) ** 2)).first()[0]
     s = search(p, ["p_partkey"], grid({"degree": [1, 2]}), lambda df, degree: glm.polynomial(df, "p_retailprice", "p_size", degree), score, 3)
-    return spark.createDataFrame([(r["params"]["degree"], r["mean"], r["std"]) for r in s.results], "degree int, mean double, std double")
+    return spark.createDataFrame([(r["params"]["degree"], round(r["mean"], 2), round(r["std"], 2)) for r in s.results], "degree int, mean double, std double")
 
 
 @query()
@@ -1048,3 +1049,6 @@ def saved_model(spark, d):
     o = load(spark, d, "orders")
     m = models.load(models.save(glm.lm(o, "o_totalprice ~ o_custkey")))
     return m.summary(o)
+
+
+from . import catalog_models  # noqa: E402, F401  registers more queries here

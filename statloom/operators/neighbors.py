@@ -73,6 +73,8 @@ def matrix(df: DataFrame, columns: list[str], key: str, most: int, extra: list[s
 
 
 def _values(series: list, kind: str) -> np.ndarray:
+    if not len(series[0]):
+        return np.zeros((0, len(series)))
     if kind.startswith("array"):
         return np.array(series[0].tolist(), float).reshape(len(series[0]), -1)
     return np.column_stack([s.to_numpy(float) for s in series])
@@ -282,9 +284,9 @@ def _vote_weight(weights: str):
     return F.lit(1.0) if weights == "uniform" else F.when(F.col("distance") == 0, F.lit(1e9)).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))
 
 
-def knn_classify(queries: DataFrame, train: DataFrame, columns: list[str], query_key: str, train_key: str, y: str, k: int = 5, weights: str = "uniform", metric="euclidean", held: int = HELD) -> DataFrame:
+def knn_classify(queries: DataFrame, train: DataFrame, columns: list[str], query_key: str, train_key: str, y: str, k: int = 5, weights: str = "uniform", metric="euclidean", held: int = HELD, exclude_self: bool = False) -> DataFrame:
     """query, predicted, probability (votes of the winner). Equal votes go to the label of the nearest neighbour."""
-    near = neighbors(queries, train, columns, query_key, train_key, k, metric, extra=[y], held=held)
+    near = neighbors(queries, train, columns, query_key, train_key, k, metric, exclude_self, extra=[y], held=held)
     votes = near.groupBy("query", y).agg(F.sum(_vote_weight(weights)).alias("w"), F.min("rank").alias("first"))
     best = votes.groupBy("query").agg(F.max(F.struct("w", (-F.col("first")).alias("near"), y)).alias("top"), F.sum("w").alias("all"))
     return best.select("query", F.col(f"top.{y}").alias("predicted"), (F.col("top.w") / F.col("all")).alias("probability"))
