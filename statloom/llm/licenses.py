@@ -208,11 +208,10 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES, out: str | None = None
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(kept, kind)], names=["doc_id", "n_words", "copies", "spans"])
 
     shape = "doc_id long, n_words long, copies long, spans array<struct<template:int,start:long,score:double>>"
-    # The rows with spans as a table of their own: Spark sees how small it is, and moves texts only if it is not.
     id_key = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text_hash"))
-    some, none = written(by_doc.filter(F.size("spans") > 0).withColumn("k", id_key), f"{out}/spans"), by_doc.filter(F.size("spans") == 0)
+    some, none = by_doc.filter(F.size("spans") > 0).withColumn("k", id_key), by_doc.filter(F.size("spans") == 0)
     # Equal rows are one row of by_doc; one of their equal texts is enough.
-    both = some.join(keyed.select(id_key.alias("k"), "text"), "k")
+    both = some.hint("merge").join(keyed.select(id_key.alias("k"), "text"), "k")
     verified = both.select(*key, "n_words", "copies", "spans", "text").mapInArrow(verify, shape)
     rest = none.select("doc_id", "n_words", F.explode(F.expr("sequence(1L, copies)")).alias("copy"), F.expr("cast(array() as array<struct<template:int,start:long,score:double>>)").alias("spans"))
     return verified.select("doc_id", "n_words", "spans").unionByName(rest.select("doc_id", "n_words", "spans"))
