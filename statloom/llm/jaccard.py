@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, texts_of, work_dir, written
+from .common import released, small, texts_of, work_dir, written
 from .simhash import CAPACITY, RADIUS, components, keep_first, majority, runs_of, shards_of, shingle_hashes, star_links
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
@@ -35,7 +35,7 @@ SAMPLE, OFTEN, COMMON = 16, 8, 20_000
 #: Members of a group up to which all its pairs are candidates, and of a tile of a larger group.
 SMALL, TILE = 64, 1024
 #: Words of masks compared at once.
-BLOCK_PAIRS = 1 << 22
+BLOCK_PAIRS = 1 << 20
 
 
 def shingle_set(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -78,7 +78,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
             for t in texts_of(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words).view(np.int64))], names=["shingle"])
 
-    part = texts(docs).filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long")
+    part = texts(docs).filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).select("text").mapInArrow(released(run), "shingle long")
     seen = part.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= OFTEN).orderBy(F.desc("k"), "shingle").limit(COMMON).collect()
     return np.array([r["shingle"] for r in reversed(seen)], np.int64).view(np.uint64)
 
@@ -106,7 +106,7 @@ def shingled(docs: DataFrame, words: int, least: Fraction) -> DataFrame:
             columns = [b.column(0), b.column(1), *(pa.array([f(s) for s in sets], pa.int64()) for f in (point_of, len, simhash_of))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([mask_of(s) for s in sets], pa.binary()), pa.array(firsts, pa.binary())], names=["doc_id", "text_hash", "point", "n", "fp", "mask", "prefix"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, text_hash long, point long, n long, fp long, mask binary, prefix binary")
+    return texts(docs).mapInArrow(released(run), "doc_id long, text_hash long, point long, n long, fp long, mask binary, prefix binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -146,8 +146,8 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
             if more.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in (shingle, np.repeat(sizes, sizes), point, n, point[hub], n[hub])], names=["shingle", "members", "point", "n", "hub", "hub_n"])
 
-    rows = sets.filter("n > 0").select("point", "n", "prefix").mapInArrow(cut, "shingle long, point long, n long")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "point").mapInArrow(meet, "shingle long, members long, point long, n long, hub long, hub_n long")
+    rows = sets.filter("n > 0").select("point", "n", "prefix").mapInArrow(released(cut), "shingle long, point long, n long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "point").mapInArrow(released(meet), "shingle long, members long, point long, n long, hub long, hub_n long")
 
 
 def near_masks(n: np.ndarray, masks: list[bytes], least: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,7 +206,7 @@ def other_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, least: Fr
     many = many.withColumn("tile", F.pmod(F.xxhash64("point"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     many = many.select("shingle", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "point", "n", "label", "mask")
     many = many.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return few.mapInArrow(small_groups, "a long, b long").unionByName(many.mapInArrow(tiles, "a long, b long")).distinct()
+    return few.mapInArrow(released(small_groups), "a long, b long").unionByName(many.mapInArrow(released(tiles), "a long, b long")).distinct()
 
 
 def sets_of(points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -220,7 +220,7 @@ def sets_of(points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     asked = points.select(F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("d"))
     rows = texts(docs)
     rows = rows.join(asked, (rows["text_hash"] == asked["h"]) & rows["doc_id"].eqNullSafe(asked["d"]), "left_semi")
-    return rows.select("text").mapInArrow(run, "point long, shingles binary").dropDuplicates(["point"])
+    return rows.select("text").mapInArrow(released(run), "point long, shingles binary").dropDuplicates(["point"])
 
 
 def simhash_pairs(reps: DataFrame, out: str) -> DataFrame:
@@ -247,7 +247,7 @@ def possible(pairs: DataFrame, reps: DataFrame, least: Fraction) -> DataFrame:
 
     for k in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("point").alias(k), F.col("n").alias(f"{k}_n"), F.col("mask").alias(f"{k}_mask")), k)
-    return pairs.select("a", "b", F.col("a_n") + F.col("b_n"), "a_mask", "b_mask").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", F.col("a_n") + F.col("b_n"), "a_mask", "b_mask").mapInArrow(released(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, least: Fraction, out: str) -> DataFrame:
@@ -271,7 +271,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, lea
     # The hub's side first: its rows are ids only, and leave for the other side's even spread.
     one = pairs.join(held.select(F.col("point").alias("a"), F.col("shingles").alias("x")), "a")
     both = one.join(held.select(F.col("point").alias("b"), F.col("shingles").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "fp long, root long"), f"{out}-links")
+    return written(both.select("a", "b", "x", "y").mapInArrow(released(run), "fp long, root long"), f"{out}-links")
 
 
 def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST, out: str | None = None) -> DataFrame:

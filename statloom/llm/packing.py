@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filesystem, small, texts_of, work_dir, written
+from .common import filesystem, released, small, texts_of, work_dir, written
 from .tokens import encoded_texts, encoder, wide
 
 #: Deficit counters count in this part of a token.
@@ -143,7 +143,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, out: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, pa.array(ids, pa.binary())], names=["doc_id", "source", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    return written(rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary"), f"{out}/encoded")
+    return written(rows.mapInArrow(released(run), "doc_id long, source string, n_tokens long, ids binary"), f"{out}/encoded")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weights: dict[str, float] | None = None, out: str | None = None, with_ids: bool = False, temperature: float = 1.0) -> DataFrame:
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, weigh
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made))[:k], kinds)], names=fields[:k])
 
     n = max(1, files.count())
-    return files.repartition(n).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return files.repartition(n).mapInArrow(released(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 def sequences(pieces: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:

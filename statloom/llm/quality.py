@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolled, bounded_batches, free_names, mix64, slices
+from .common import Rolled, bounded_batches, free_names, mix64, released, slices
 
 #: Labelled documents that a model is fitted on at most; chosen by a hash of doc_id, so spread over the table.
 SAMPLE_DOCS = 4000
@@ -44,7 +44,7 @@ _CLASS[0x80:0xC0] = 9
 
 
 #: Bytes at which a line is cut: the parts of a longer one count as lines. Text bytes featurised at once.
-LONGEST_LINE, CHUNK_BYTES = 1 << 20, 2 << 20
+LONGEST_LINE, CHUNK_BYTES = 1 << 18, 1 << 19
 #: Chains of more lines are scored in blocks side by side.
 LONG_CHAIN = 4096
 
@@ -351,7 +351,7 @@ def score(docs: DataFrame, model: Model, output: str = "score") -> DataFrame:
         for i in long:
             out[i] = model.score_long(texts[i])
         rest = sorted(set(range(len(texts))) - set(long))
-        for i, j in slices(len(texts[r]) for r in rest):
+        for i, j in slices((len(texts[r]) for r in rest), CHUNK_BYTES):
             out[rest[i:j]] = model.score([texts[r] for r in rest[i:j]])
         return out
 
@@ -363,7 +363,7 @@ def score(docs: DataFrame, model: Model, output: str = "score") -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())])
-    return docs.withColumn(temp, F.col("text")).mapInArrow(run, schema)
+    return docs.withColumn(temp, F.col("text")).mapInArrow(released(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_names, mix64, small, texts_of, work_dir, written
+from .common import free_names, mix64, released, small, texts_of, work_dir, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Text bytes taken apart at once, and what separates words.
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(released(run), "doc_id long, text_hash long, fp long")
 
 
 class Components:
@@ -349,7 +349,7 @@ def star_links(points: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(p[busy]), pa.array(p[r[busy]])], names=["fp", "root"])
 
     rows = points.select("shard", "mask", "fp").repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(lambda batches: gathered(run(batches)), "fp long, root long")
+    return rows.mapInArrow(released(lambda batches: gathered(run(batches))), "fp long, root long")
 
 
 def sampled(points: DataFrame, hot: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def shards_of(fps: DataFrame, radius: int, out: str, capacity: int) -> DataFrame
                 yield from gathered(dealt(trees, 0, np.asarray(b.column(0)), radius))
 
         if trees:
-            points = written(fps.mapInArrow(first, shape), f"{out}/shards-0")
+            points = written(fps.mapInArrow(released(first), shape), f"{out}/shards-0")
     for level in range(1, LEVELS if n > capacity else 0):
         sizes = points.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
         hot = written(sizes.filter(F.col("n") > capacity), f"{out}/hot-{level}")
