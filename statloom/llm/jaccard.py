@@ -170,11 +170,12 @@ def near_masks(n: np.ndarray, masks: list[bytes], least: Fraction) -> Iterator[t
             yield own[i + at], both[j]
 
 
-def other_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, least: Fraction) -> DataFrame:
+def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """a, b: the pairs of a group without its hub that are not one component and may have the likeness.
 
     Groups of up to SMALL members give their pairs. Larger ones are cut into tiles of about TILE members; two
-    tiles meet in a task, where the masks decide which pairs leave it, so no group's pairs are written out.
+    tiles meet in a task, where the masks decide which pairs leave it, so no group's pairs are written out. A
+    pair leaves one of its groups only, that of the least shingle that both prefixes hold.
     """
 
     def small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,20 +192,31 @@ def other_pairs(shared: DataFrame, labels: DataFrame, reps: DataFrame, least: Fr
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, 3):
-            (_, i, j, tile, point, n, label), masks = group[:7], group[7].tolist()
+            (shingle, i, j, tile, point, n, label), masks, firsts = group[:7], group[7].tolist(), group[8].tolist()
+            held: dict[int, set] = {}
+
+            def prefix_of(at: int) -> set:
+                if at not in held:
+                    held[at] = set(np.frombuffer(firsts[at], np.int64).tolist())
+                return held[at]
+
             for x, y in near_masks(n, masks, least):
-                ok = (label[x] != label[y]) & ((i[0] == j[0]) | (tile[x] != tile[y]))
-                if ok.any():
+                ok = np.flatnonzero((label[x] != label[y]) & ((i[0] == j[0]) | (tile[x] != tile[y])))
+                here = int(shingle[0])
+                ok = [k for k in ok.tolist() if min(prefix_of(int(x[k])) & prefix_of(int(y[k]))) == here]
+                if ok:
                     x, y = point[x[ok]], point[y[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     rows = shared.filter("point <> hub").join(labels.select(F.col("fp").alias("point"), "label"), "point", "left")
     rows = rows.select("shingle", "members", "point", "n", F.coalesce("label", "point").alias("label"))
     few = rows.filter(F.col("members") <= SMALL).select("shingle", "point", "n", "label").repartition("shingle").sortWithinPartitions("shingle", "point")
-    many = rows.filter(F.col("members") > SMALL).join(reps.select("point", "mask"), "point")
+    many = rows.filter(F.col("members") > SMALL)
+    marks = sets.select("point", "mask", "prefix").join(many.select("point").distinct(), "point", "left_semi").dropDuplicates(["point"])
+    many = many.join(marks, "point")
     count = F.ceil(F.col("members") / TILE).cast("int")
     many = many.withColumn("tile", F.pmod(F.xxhash64("point"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    many = many.select("shingle", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "point", "n", "label", "mask")
+    many = many.select("shingle", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "point", "n", "label", "mask", "prefix")
     many = many.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     return few.mapInArrow(released(small_groups), "a long, b long").unionByName(many.mapInArrow(released(tiles), "a long, b long")).distinct()
 
@@ -296,7 +308,7 @@ def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST, out
         hubs = hubs.join(known.select(F.col("fp").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
     hubs = hubs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     links = links.unionByName(verified(hubs, docs, reps, words, share, f"{out}/hubs"))
-    others = other_pairs(shared, components(links, f"{out}/second"), reps, share)
+    others = other_pairs(shared, components(links, f"{out}/second"), sets, share)
     links = links.unionByName(verified(others, docs, reps, words, share, f"{out}/others"))
     label = components(links, f"{out}/all").withColumnRenamed("fp", "point")
     return sets.select("doc_id", "text_hash", "point").join(label, "point", "left").select("doc_id", "text_hash", "point", F.coalesce("label", "point").alias("label"))
