@@ -1002,7 +1002,7 @@ def rda_permutation_test(spark, d):
 def tree_shap(spark, d):
     o = load(spark, d, "part")
     t = trees.grow(o, ["p_size"], "p_retailprice", "regression", max_depth=3)
-    return interpret.tree_shap(o.select("p_partkey", "p_size"), t)
+    return rounded(interpret.tree_shap(o.select("p_partkey", "p_size"), t), 5)
 
 
 @query()
@@ -1048,7 +1048,7 @@ def saved_model(spark, d):
 
     o = load(spark, d, "orders")
     m = models.load(models.save(glm.lm(o, "o_totalprice ~ o_custkey")))
-    return m.summary(o)
+    return rounded(m.summary(o), 3)
 
 
 from . import catalog_models  # noqa: E402, F401  registers more queries here

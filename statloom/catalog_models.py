@@ -427,3 +427,48 @@ def guards(spark, d):
     o = load(spark, d, "orders")
     ok = o.select(fc.guard_finite(F.col("o_totalprice")).alias("v"), fc.guard_positive(F.col("o_totalprice")).alias("c"), fc.guard_probability(F.lit(0.5)).alias("p"), "o_totalprice")
     return ok.agg(F.count(F.lit(1)).alias("n"), F.sum(fc.approx_equal(F.col("v"), F.col("o_totalprice")).cast("double")).alias("same"), F.round(F.avg("c"), 4).alias("mean"))
+
+
+# SQL for whole models.
+ORACLE_SQL["ordination_hulls"] = """WITH e AS (SELECT l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS x, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1, 2),
+w AS (SELECT g, min(x) AS a, max(x) AS z FROM e GROUP BY 1),
+below AS (SELECT g, x, lo AS y FROM e p WHERE NOT EXISTS (SELECT 1 FROM e a, e b WHERE a.g = p.g AND b.g = p.g AND a.x < p.x AND p.x < b.x AND (p.x - a.x) * (b.lo - a.lo) - (p.lo - a.lo) * (b.x - a.x) <= 0)),
+above AS (SELECT g, x, hi AS y FROM e p WHERE NOT EXISTS (SELECT 1 FROM e a, e b WHERE a.g = p.g AND b.g = p.g AND a.x < p.x AND p.x < b.x AND (p.x - a.x) * (b.hi - a.hi) - (p.hi - a.hi) * (b.x - a.x) >= 0)),
+h AS (SELECT g, 0 AS half, x AS place, x, y FROM below UNION ALL SELECT g, 1, -x, x, y FROM above WHERE (g, x, y) NOT IN (SELECT g, x, y FROM below))
+SELECT g AS l_returnflag, CAST(row_number() OVER (PARTITION BY g ORDER BY half, place) - 1 AS INT) AS i, x, y FROM h"""
+ORACLE_SQL["saved_model"] = f"""WITH m AS ({SIMPLE.format(y="o_totalprice", x="o_custkey", t="orders")}), t AS (SELECT '(Intercept)' AS term, b0 AS b, sqrt(s2 * (1 / n + mx * mx / sxx)) AS e FROM m UNION ALL SELECT 'o_custkey', b1, sqrt(s2 / sxx) FROM m), v AS (SELECT *, b / e AS s FROM t)
+SELECT term, round(b, 3) AS estimate, round(e, 3) AS std_error, round(s, 3) AS z, round(greatest(0, 1 - 2 * {simpson(NORMAL, "0", "least(abs(s), 12)")}), 3) AS p_value, round(b - 1.959963984540054 * e, 3) AS low, round(b + 1.959963984540054 * e, 3) AS high FROM v"""
+ORACLE_SQL["one_vs_rest"] = """WITH RECURSIVE c AS (SELECT c_custkey, c_mktsegment AS m, c_acctbal / 10000 AS x FROM customer), k AS (SELECT DISTINCT m FROM c),
+fit AS (SELECT m, 0 AS step, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM k
+    UNION ALL
+    SELECT m, step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT m, step, b0, b1, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+        FROM (SELECT fit.m, step, b0, b1, x, CAST(c.m = fit.m AS INT) AS y, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM fit, c WHERE step < 10) GROUP BY 1, 2, 3, 4)),
+top AS (SELECT c_custkey, arg_max(fit.m, b0 + b1 * x) AS prediction FROM c, fit WHERE step = 10 GROUP BY 1)
+SELECT prediction, count(*) AS n FROM top GROUP BY 1"""
+_XYZ = {"a": "l_quantity", "b": "l_discount", "c": "l_tax"}
+_PAIRS = [p + q for i, p in enumerate("abc") for q in "abc"[i:]]
+ORACLE_SQL["lda"] = f"""WITH v AS (SELECT l_returnflag AS f, l_quantity AS a, l_discount AS b, l_tax AS c FROM lineitem),
+m AS (SELECT f, avg(a) AS a, avg(b) AS b, avg(c) AS c, {", ".join(f"covar_pop({p[0]}, {p[1]}) * count(*) AS {p}" for p in _PAIRS)} FROM v GROUP BY 1),
+w AS (SELECT {", ".join(f"sum({p}) AS {p}" for p in _PAIRS)} FROM m),
+s AS (SELECT bb * cc - bc * bc AS iaa, ac * bc - ab * cc AS iab, ab * bc - ac * bb AS iac, aa * cc - ac * ac AS ibb, ab * ac - aa * bc AS ibc, aa * bb - ab * ab AS icc FROM w),
+d AS (SELECT v.a, v.b, v.c, v.n, m.f, iaa * (v.a - m.a) * (v.a - m.a) + ibb * (v.b - m.b) * (v.b - m.b) + icc * (v.c - m.c) * (v.c - m.c)
+        + 2 * (iab * (v.a - m.a) * (v.b - m.b) + iac * (v.a - m.a) * (v.c - m.c) + ibc * (v.b - m.b) * (v.c - m.c)) AS d
+    FROM (SELECT a, b, c, count(*) AS n FROM v GROUP BY 1, 2, 3) v, m, s),
+p AS (SELECT a, b, c, any_value(n) AS n, arg_min(f, d) AS prediction FROM d GROUP BY 1, 2, 3)
+SELECT prediction, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1"""
+_LEVELS = "t0 AS (SELECT CAST(p_size AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS n, sum(p_retailprice) AS s, 0 AS node FROM part GROUP BY 1)"
+for _i in range(3):
+    _LEVELS += f""", r{_i} AS (SELECT node, v, lead(v) OVER k AS nx, sum(n) OVER k AS ln, sum(s) OVER k AS ls, sum(n) OVER (PARTITION BY node) AS tn, sum(s) OVER (PARTITION BY node) AS ts FROM t{_i} WINDOW k AS (PARTITION BY node ORDER BY v)),
+    c{_i} AS (SELECT node, arg_max((v + nx) / 2, (round(gain, 9), -v)) AS cut FROM (SELECT *, (ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn) / tn AS gain FROM r{_i} WHERE nx IS NOT NULL) WHERE gain > 1e-7 GROUP BY 1),
+    t{_i + 1} AS (SELECT v, n, s, CASE WHEN cut IS NULL THEN t.node * 2 WHEN v <= cut THEN t.node * 2 ELSE t.node * 2 + 1 END AS node FROM t{_i} t LEFT JOIN c{_i} c ON t.node = c.node)"""
+ORACLE_SQL["tree_shap"] = f"""WITH {_LEVELS}, leaf AS (SELECT node, sum(s) / sum(n) AS value FROM t3 GROUP BY 1), base AS (SELECT sum(s) / sum(n) AS base FROM t0)
+SELECT p_partkey, p_size, round(base, 5) AS base, round(value - base, 5) AS shap_p_size FROM part JOIN t3 ON p_size = v JOIN leaf ON t3.node = leaf.node, base"""
+ORACLE_SQL["linkage"] = f"""WITH RECURSIVE s AS ({SPOTS}), p AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a, s b WHERE a.s_suppkey <> b.s_suppkey),
+run AS (SELECT s_suppkey AS k, s_suppkey AS c, (SELECT count(*) FROM s) AS n FROM s
+    UNION ALL
+    SELECT r.k, CASE WHEN r.c = m.y THEN m.x ELSE r.c END, r.n - 1
+    FROM run r, (SELECT arg_min({{'x': x, 'y': y}}, (round(d, 10), x, y)).x AS x, arg_min({{'x': x, 'y': y}}, (round(d, 10), x, y)).y AS y
+        FROM (SELECT u.c AS x, v.c AS y, avg(d) AS d FROM run u JOIN p ON u.k = p.a JOIN run v ON v.k = p.b WHERE u.c < v.c GROUP BY 1, 2)) m
+    WHERE r.n > 5)
+SELECT k AS s_suppkey, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INT) AS cluster FROM run WHERE n = least(5, (SELECT count(*) FROM s))"""
