@@ -18,6 +18,7 @@ from ..functions.columns import LINKS, largest, log_gamma
 from ..functions.special import chisq_cdf, normal_cdf, normal_quantile
 from ..plans import formula as fm
 from ..plans.gram import gram, gram_by
+from ..plans.pipeline import parallel
 from ..sources.models import saveable
 from ..sources.tables import normalize, settled
 
@@ -255,9 +256,10 @@ def polynomial(df: DataFrame, y: str, x: str, degree: int = 2) -> GLM:
 
 # Several classes.
 def one_vs_rest(df: DataFrame, y: str, terms: str, **options) -> dict[object, GLM]:
-    """A logistic model for each class of ``y``."""
+    """A logistic model for each class of ``y``; the classes' jobs run beside each other."""
     classes = sorted(r[0] for r in df.select(y).filter(F.col(y).isNotNull()).distinct().collect())
-    return {c: glm(df.withColumn("__is", (F.col(y) == F.lit(c)).cast("double")), f"__is ~ {terms}", "binomial", **options) for c in classes}
+    fits = parallel([lambda c=c: glm(df.withColumn("__is", (F.col(y) == F.lit(c)).cast("double")), f"__is ~ {terms}", "binomial", **options) for c in classes])
+    return dict(zip(classes, fits))
 
 
 def predict_ovr(models: dict[object, GLM], df: DataFrame, output: str = "prediction") -> DataFrame:
