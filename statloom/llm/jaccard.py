@@ -12,7 +12,8 @@ parity masks rule the likeness out, and the rest are verified on the whole sets,
 
 As only components matter, SimHash's pairs come first, with each point's smallest hub (the smallest point of
 a group); then the members of a group and its hub, and at last any two members, are compared unless they
-are one component already.
+are one component already. In large groups those of any two go by rounds: a component first sends its likeliest
+pairs, then more, then all that are left, as the pairs of copies join it to the rest long before they run out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SHINGLE, LEAST, SEED = 5, 0.8, 42
 SAMPLE, OFTEN, COMMON = 16, 8, 20_000
 #: Members of a group up to which all its pairs are candidates, and of a tile of a larger group.
 SMALL, TILE = 64, 1024
+#: Pairs that a component sends from a tile, by round; then all.
+ROUNDS = (4, 64, 1024, None)
 #: Words of masks compared at once.
 BLOCK_PAIRS = 1 << 20
 
@@ -151,7 +154,13 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
 
 
 def near_masks(n: np.ndarray, masks: list[bytes], least: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs of sets whose sizes and masks allow the likeness, in blocks; each pair once, in either order.
+    """Positions of all pairs of sets whose sizes and masks allow the likeness, in blocks; each pair once, in either order."""
+    for x, y, _ in likely_masks(n, masks, least):
+        yield x, y
+
+
+def likely_masks(n: np.ndarray, masks: list[bytes], least: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of ``near_masks``, and the most that their likeness can be.
 
     Such sizes differ by a quarter at most, so masks of one length meet those of the same and of twice the length.
     """
@@ -167,15 +176,27 @@ def near_masks(n: np.ndarray, masks: list[bytes], least: Fraction) -> Iterator[t
             total = n[own[at : at + step], None] + n[None, both]
             once = np.arange(at, min(len(own), at + step))[:, None] < np.arange(len(both))[None, :]
             i, j = np.nonzero(once & ((total - d) * least.denominator >= (total + d) * least.numerator))
-            yield own[i + at], both[j]
+            d, total = d[i, j], total[i, j]
+            yield own[i + at], both[j], (total - d) / (total + d)
+
+
+def likeliest(a: np.ndarray, b: np.ndarray, likeness: np.ndarray, most: int) -> np.ndarray:
+    """Whether a pair of labels is among the ``most`` likeliest of one of the two."""
+    label, score = np.concatenate((a, b)), np.concatenate((likeness, likeness))
+    order = np.lexsort((-score, label))
+    starts = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1])))
+    keep = np.zeros(len(label), bool)
+    keep[order] = np.arange(len(label)) - np.repeat(starts, np.diff(np.append(starts, len(label)))) < most
+    return keep[: len(a)] | keep[len(a) :]
 
 
-def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """a, b: the pairs of a group without its hub that are not one component and may have the likeness.
+def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, least: Fraction, most: int | None = None, first: bool = True) -> DataFrame:
+    """a, b, more: the pairs of a group without its hub that are not one component and may have the likeness.
 
-    Groups of up to SMALL members give their pairs. Larger ones are cut into tiles of about TILE members; two
-    tiles meet in a task, where the masks decide which pairs leave it, so no group's pairs are written out. A
-    pair leaves one of its groups only, that of the least shingle that both prefixes hold.
+    Groups of up to SMALL members give their pairs, the ``first`` time. Larger ones are cut into tiles of about
+    TILE members; two tiles meet in a task, where the masks decide which pairs leave it, so no group's pairs are
+    written out. With ``most``, only the likeliest so many of each component leave a tile; more: it has others.
+    A pair leaves one of its groups only, that of the least shingle that both prefixes hold.
     """
 
     def small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +209,8 @@ def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, least: Fr
                 ok = (k[i] != k[j]) & (np.minimum(m[i], m[j]) * least.denominator >= np.maximum(m[i], m[j]) * least.numerator)
                 made.append(np.stack((p[i[ok]], p[j[ok]])))
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(made, axis=1)], names=["a", "b"])
+                a, b = np.concatenate(made, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), bool))], names=["a", "b", "more"])
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, 3):
@@ -200,13 +222,28 @@ def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, least: Fr
                     held[at] = set(np.frombuffer(firsts[at], np.int64).tolist())
                 return held[at]
 
-            for x, y in near_masks(n, masks, least):
-                ok = np.flatnonzero((label[x] != label[y]) & ((i[0] == j[0]) | (tile[x] != tile[y])))
-                here = int(shingle[0])
-                ok = [k for k in ok.tolist() if min(prefix_of(int(x[k])) & prefix_of(int(y[k]))) == here]
+            here, more = int(shingle[0]), False
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+            def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                nonlocal best, more
+                for x, y, likeness in likely_masks(n, masks, least):
+                    ok = (label[x] != label[y]) & ((i[0] == j[0]) | (tile[x] != tile[y]))
+                    if most is None:
+                        yield x[ok], y[ok]
+                    elif ok.any():
+                        x, y, likeness = (np.concatenate((c, d[ok])) for c, d in zip(best, (x, y, likeness)))
+                        keep = likeliest(label[x], label[y], likeness, most)
+                        best, more = (x[keep], y[keep], likeness[keep]), more or not keep.all()
+                yield best[:2]
+
+            for x, y in blocks():
+                ok = [k for k in range(len(x)) if min(prefix_of(int(x[k])) & prefix_of(int(y[k]))) == here]
                 if ok:
                     x, y = point[x[ok]], point[y[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), more))], names=["a", "b", "more"])
+                elif more:  # those that it keeps back may be its own
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([True])], names=["a", "b", "more"])
 
     rows = shared.filter("point <> hub").join(labels.select(F.col("fp").alias("point"), "label"), "point", "left")
     rows = rows.select("shingle", "members", "point", "n", F.coalesce("label", "point").alias("label"))
@@ -218,7 +255,10 @@ def other_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, least: Fr
     many = many.withColumn("tile", F.pmod(F.xxhash64("point"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     many = many.select("shingle", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "point", "n", "label", "mask", "prefix")
     many = many.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return few.mapInArrow(released(small_groups), "a long, b long").unionByName(many.mapInArrow(released(tiles), "a long, b long")).distinct()
+    pairs = many.mapInArrow(released(tiles), "a long, b long, more boolean")
+    if first:
+        pairs = pairs.unionByName(few.mapInArrow(released(small_groups), "a long, b long, more boolean"))
+    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def sets_of(points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -308,9 +348,19 @@ def near_copies(docs: DataFrame, words: int = SHINGLE, least: float = LEAST, out
         hubs = hubs.join(known.select(F.col("fp").alias(k), F.col("label").alias(f"{k}_label")), k, "left")
     hubs = hubs.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     links = links.unionByName(verified(hubs, docs, reps, words, share, f"{out}/hubs"))
-    others = other_pairs(shared, components(links, f"{out}/second"), sets, share)
-    links = links.unionByName(verified(others, docs, reps, words, share, f"{out}/others"))
-    label = components(links, f"{out}/all").withColumnRenamed("fp", "point")
+    known, tested = components(links, f"{out}/second"), None
+    for step, most in enumerate(ROUNDS):
+        others = written(other_pairs(shared, known, sets, share, most, step == 0), f"{out}/others-{step}")
+        pairs = others.filter("a IS NOT NULL").select("a", "b")
+        new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        found = verified(new, docs, reps, words, share, f"{out}/others-{step}")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            known = components(links, f"{out}/all-{step}")
+        if others.filter("more").isEmpty():
+            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+    label = known.withColumnRenamed("fp", "point")
     return sets.select("doc_id", "text_hash", "point").join(label, "point", "left").select("doc_id", "text_hash", "point", F.coalesce("label", "point").alias("label"))
 
 

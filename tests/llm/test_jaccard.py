@@ -65,6 +65,21 @@ def test_large_groups_go_by_tiles(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in jaccard.drop_near_copies(docs).collect()) == sorted(set(brute(texts).tolist()))
 
 
+def test_a_large_group_sends_its_likeliest_pairs_first(spark):
+    r = np.random.default_rng(7)
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(100) < 0.97], r.integers(1 << 40, 1 << 60, 3, np.uint64)))) for _ in range(150)]
+    rows = [(i, len(s), jaccard.mask_of(s), np.array([5], np.int64).tobytes()) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "point long, n long, mask binary, prefix binary")
+    shared = spark.createDataFrame([(5, 150, i, n, -1, 100) for i, n, *_ in rows], "shingle long, members long, point long, n long, hub long, hub_n long")
+    none = spark.createDataFrame([], "fp long, label long")
+    every = jaccard.other_pairs(shared, none, held, jaccard.Fraction("0.8")).collect()
+    some = jaccard.other_pairs(shared, none, held, jaccard.Fraction("0.8"), 4).collect()
+    assert len(every) > 10_000 and not any(q["more"] for q in every)
+    assert len(some) <= 4 * 150 and all(q["more"] for q in some) and {q["a"] for q in some} | {q["b"] for q in some} == set(range(150))
+    assert {(q["a"], q["b"]) for q in some} <= {(q["a"], q["b"]) for q in every}
+
+
 def test_masks_never_lose_a_likely_pair():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 63, 700, np.uint64)
