@@ -1,12 +1,14 @@
 """Fitted models against closed forms, published reference values and simulated truth."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from statloom import catalog_models
 from statloom.functions import columns as fc
 from statloom.functions import special
 from statloom.operators import cluster, features, glm, htests, impute, interpret, neighbors, ordination, outliers, resample, smooth, table, trees
@@ -482,3 +484,22 @@ def test_saving_odd_values():
     assert back["a"] == v["a"] and back[3] == (1, "x") and (back["m"] == np.eye(2)).all() and math.isnan(models.load(models.save(math.nan)))
     with pytest.raises(ValueError):
         models.load("{}")
+
+
+def test_coassociation_classes_say_what_all_pairs_say(spark):
+    rows = [(i, i * 7 % 3, None if i % 11 == 0 else i * 5 % 4, -1 if i % 5 == 0 else i % 2) for i in range(60)] + [(60, -1, None, -1)]
+    df = spark.createDataFrame(rows, "k long, a long, b long, c long")
+    want = {(r["a"], r["b"]): r["agreement"] for r in cluster.coassociation(df, "k", ["a", "b", "c"]).collect()}
+    got = cluster.coassociation_classes(df, "k", ["a", "b", "c"]).collect()
+    names, least = [k[0] for k in rows], {}
+    by = {tuple(v[1:]): min(k[0] for k in rows if k[1:] == v[1:]) for v in rows}
+    home = {v[0]: by[tuple(v[1:])] for v in rows}
+    own = {r["b"]: r["agreement"] for r in got if home[r["b"]] == r["a"]}
+    between = {(r["a"], r["b"]): r["agreement"] for r in got if home[r["b"]] != r["a"]}
+    for x in names:
+        for y in names:
+            if x < y:
+                v = own[x] if home[x] == home[y] else between.get((min(home[x], home[y]), max(home[x], home[y])), 0.0)
+                if v:
+                    least[(x, y)] = v
+    assert least == pytest.approx(want) and len(got) < len(want) and own[60] == 0.0
