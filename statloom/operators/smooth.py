@@ -259,7 +259,11 @@ class Kernel:
 @saveable
 @dataclass
 class GaussianProcess:
-    """Exact regression on at most ``max_rows`` rows; prediction streams over any number."""
+    """Exact regression on any number of rows at up to ``max_rows`` distinct points; prediction streams over any number.
+
+    Rows at one point are as good as their mean with the noise divided by their number: the posterior and the
+    likelihood are the same as by all rows.
+    """
 
     columns: list
     kernel: Kernel
@@ -274,19 +278,25 @@ class GaussianProcess:
     def fit(cls, df: DataFrame, columns: list[str], y: str, kernel: Kernel | None = None, alpha: float = 1e-6, normalize_y: bool = True, optimize: bool = True, max_rows: int = 2000, steps: int = 40) -> GaussianProcess:
         rows = normalize(df).select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(y).cast("double").alias("__y")).dropna().limit(max_rows + 1).toPandas().to_numpy(float)
         if len(rows) > max_rows:
-            raise ValueError(f"an exact process takes at most {max_rows} rows; fit one per group or a sample")
-        x, t = rows[:, :-1], rows[:, -1]
-        mean, scale = (t.mean(), t.std() or 1.0) if normalize_y else (0.0, 1.0)
+            raise ValueError(f"an exact process takes at most {max_rows} distinct points; fit one per group or a sample")
+        x, (t, k, within) = rows[:, :-3], rows[:, -3:].T
+        n = k.sum()
+        mean, scale = (0.0, 1.0)
+        if normalize_y:
+            mean = t @ k / n
+            scale = math.sqrt(k @ (within + (t - mean) ** 2) / n) or 1.0
         t = (t - mean) / scale
-        kernel = kernel or Kernel("rbf")
+        # What the likelihood of all rows has beyond that of the means: their spread around them.
+        spread = float(-0.5 * (k @ within) / scale**2 / alpha - 0.5 * ((n - len(x)) * math.log(2 * math.pi * alpha) + np.log(k).sum())) if n > len(x) and alpha else 0.0
+        kernel, noise = kernel or Kernel("rbf"), np.diag(alpha / k)
 
         def of(k: Kernel):
             try:
-                c = np.linalg.cholesky(k(x, x) + alpha * np.eye(len(x)))
+                c = np.linalg.cholesky(k(x, x) + noise)
             except np.linalg.LinAlgError:
                 return None, None, -math.inf
             w = np.linalg.solve(c.T, np.linalg.solve(c, t))
-            return c, w, float(-0.5 * t @ w - np.log(np.diag(c)).sum() - len(x) / 2 * math.log(2 * math.pi))
+            return c, w, float(-0.5 * t @ w - np.log(np.diag(c)).sum() - len(x) / 2 * math.log(2 * math.pi)) + spread
 
         best = of(kernel)
         if optimize and kernel.kind not in ("sum", "constant", "dot"):

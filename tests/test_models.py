@@ -503,3 +503,18 @@ def test_coassociation_classes_say_what_all_pairs_say(spark):
                 if v:
                     least[(x, y)] = v
     assert least == pytest.approx(want) and len(got) < len(want) and own[60] == 0.0
+
+
+def test_gaussian_process_takes_rows_at_few_points(spark):
+    r = np.random.default_rng(8)
+    x, y = r.integers(0, 6, 60).astype(float), r.normal(size=60)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    kernel = smooth.Kernel("rbf", length=2.0)
+    m = smooth.GaussianProcess.fit(df, ["x"], "y", kernel, alpha=0.1, optimize=False, max_rows=6)
+    k, t = kernel(x[:, None], x[:, None]) + 0.1 * np.eye(60), (y - y.mean()) / y.std()
+    z = np.array([[0.5], [3.0]])
+    kz = kernel(z, x[:, None])
+    got = m.predict(spark.createDataFrame([(0.5,), (3.0,)], "x double"), std=True).orderBy("x").collect()
+    assert [g["prediction"] for g in got] == pytest.approx(list(kz @ np.linalg.solve(k, t) * y.std() + y.mean()))
+    assert [g["prediction_std"] for g in got] == pytest.approx(list(np.sqrt(1 - np.einsum("ij,ji->i", kz, np.linalg.solve(k, kz.T))) * y.std()))
+    assert m.log_likelihood == pytest.approx(-0.5 * t @ np.linalg.solve(k, t) - 0.5 * np.linalg.slogdet(k)[1] - 30 * math.log(2 * math.pi))
