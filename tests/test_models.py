@@ -486,6 +486,28 @@ def test_saving_odd_values():
         models.load("{}")
 
 
+def test_linkage_of_many_rows(spark):
+    """Copies are one weighted point; equal distances go by the smallest keys; more rows than a matrix would hold."""
+    r = np.random.default_rng(5)
+    x = r.integers(0, 6, (40, 2)).astype(float)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, a double, b double")
+    d, left, want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), {i: [i] for i in range(40)}, []
+    while len(left) > 1:
+        h, i, j = min((round(d[np.ix_(left[i], left[j])].mean(), 10), i, j) for i in left for j in left if i < j)
+        left[i] += left.pop(j)
+        want.append((h, len(left[i])))
+        if len(left) == 5:
+            clusters = {frozenset(v) for v in left.values()}
+    m = cluster.Linkage.fit(df, ["a", "b"], "k")
+    assert [(round(v[2], 10), v[3]) for v in m.merges] == want
+    got = m.cut(5)
+    assert {frozenset(k for k in got if got[k] == c) for c in got.values()} == clusters
+    many = spark.range(5500).selectExpr("id AS k", "CAST(id % 40 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) * 1000 AS b")
+    for kind in ("single", "average"):
+        got = cluster.Linkage.fit(many, ["a", "b"], "k", kind).cut(3)
+        assert len(got) == 5500 and all(c == k % 3 for k, c in got.items())
+
+
 def test_coassociation_classes_say_what_all_pairs_say(spark):
     rows = [(i, i * 7 % 3, None if i % 11 == 0 else i * 5 % 4, -1 if i % 5 == 0 else i % 2) for i in range(60)] + [(60, -1, None, -1)]
     df = spark.createDataFrame(rows, "k long, a long, b long, c long")
