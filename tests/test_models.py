@@ -540,3 +540,10 @@ def test_gaussian_process_takes_rows_at_few_points(spark):
     assert [g["prediction"] for g in got] == pytest.approx(list(kz @ np.linalg.solve(k, t) * y.std() + y.mean()))
     assert [g["prediction_std"] for g in got] == pytest.approx(list(np.sqrt(1 - np.einsum("ij,ji->i", kz, np.linalg.solve(k, kz.T))) * y.std()))
     assert m.log_likelihood == pytest.approx(-0.5 * t @ np.linalg.solve(k, t) - 0.5 * np.linalg.slogdet(k)[1] - 30 * math.log(2 * math.pi))
+
+
+def test_fisher_on_large_counts():
+    start = time.time()
+    p = htests.fisher_exact(4_000_000, 5_000_000, 12_004_000, 15_000_000)["p_value"]
+    z = (4_000_000 * 15_000_000 - 5_000_000 * 12_004_000) * math.sqrt(36_004_000 / (9_000_000 * 27_004_000 * 16_004_000 * 20_000_000))
+    assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=2e-3) and time.time() - start < 5
