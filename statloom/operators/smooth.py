@@ -276,7 +276,9 @@ class GaussianProcess:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], y: str, kernel: Kernel | None = None, alpha: float = 1e-6, normalize_y: bool = True, optimize: bool = True, max_rows: int = 2000, steps: int = 40) -> GaussianProcess:
-        rows = normalize(df).select(*[F.col(c).cast("double").alias(c) for c in columns], F.col(y).cast("double").alias("__y")).dropna().limit(max_rows + 1).toPandas().to_numpy(float)
+        rows = normalize(df).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col(y).cast("double").alias("y")).dropna()
+        at = [f"x{i}" for i in range(len(columns))]
+        rows = rows.groupBy(*at).agg(F.avg("y").alias("m"), F.count(F.lit(1)).cast("double").alias("k"), F.var_pop("y").alias("v")).limit(max_rows + 1).toPandas().sort_values(at).to_numpy(float)
         if len(rows) > max_rows:
             raise ValueError(f"an exact process takes at most {max_rows} distinct points; fit one per group or a sample")
         x, (t, k, within) = rows[:, :-3], rows[:, -3:].T
@@ -497,7 +499,7 @@ def minimize(f, start, gradient=None, method: str = "adam", rate: float = 0.05,
 
 
 def minimize_scalar(f, low: float, high: float, tol: float = 1e-10) -> float:
-    """Golden-section search."""
+    """Golden-section search, then steps by slope and curvature: values alone tell a minimum to half their digits only."""
     r = (math.sqrt(5) - 1) / 2
     a, b = low, high
     c, d = b - r * (b - a), a + r * (b - a)
@@ -508,7 +510,16 @@ def minimize_scalar(f, low: float, high: float, tol: float = 1e-10) -> float:
         else:
             a, c = c, d
             d = a + r * (b - a)
-    return (a + b) / 2
+    x = (a + b) / 2
+    h = 1e-3 * max(1.0, abs(x))
+    if low <= x - 2 * h and x + 2 * h <= high:
+        for _ in range(2):
+            near = {k: f(x + k * h) for k in (-2, -1, 0, 1, 2)}
+            slope, bend = (8 * (near[1] - near[-1]) - (near[2] - near[-2])) / (12 * h), (near[1] - 2 * near[0] + near[-1]) / h**2
+            if not bend > 0 or not abs(slope / bend) < 1e-5 * max(1.0, abs(x)):
+                break
+            x -= slope / bend
+    return x
 
 
 def root_scalar(f, low: float, high: float, tol: float = 1e-12) -> float:

@@ -548,6 +548,11 @@ def test_gaussian_process_takes_rows_at_few_points(spark):
     assert m.log_likelihood == pytest.approx(-0.5 * t @ np.linalg.solve(k, t) - 0.5 * np.linalg.slogdet(k)[1] - 30 * math.log(2 * math.pi))
 
 
+def test_golden_section_beyond_half_the_digits():
+    assert smooth.minimize_scalar(lambda v: 853.5 - 2 * 25.40225 * v + v * v, 0.0, 100.0) == pytest.approx(25.40225, abs=1e-9)
+    assert catalog_models.half_up(25.40225 - 2e-12, 4) == 25.4023
+
+
 def test_fisher_on_large_counts():
     start = time.time()
     p = htests.fisher_exact(4_000_000, 5_000_000, 12_004_000, 15_000_000)["p_value"]
